@@ -38,7 +38,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lakeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that it ran, not the
@@ -46,10 +46,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out

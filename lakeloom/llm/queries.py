@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import byte_bpe, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, url_filter, warc
+from lakeloom.llm import byte_bpe, exact_dedup, html_text, katz, line_dedup, ngram_join, packing, quality, url_filter, warc
 from lakeloom.llm.common import table
 
 #: (host, path, verdict) of op6.
@@ -40,6 +40,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_katz": op7_katz,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
