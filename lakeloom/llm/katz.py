@@ -63,7 +63,7 @@ class Unigrams:
         self.starts = np.cumsum(sizes) - sizes
         known = self.counts > 0
         self.total = int((self.counts * sizes).sum())
-        self.kinds = int(sizes[known].sum())
+        self.kinds, self.words = int(sizes[known].sum()), int(sizes.sum())
         d = discounts(dict(levels))
         factor = np.where(self.counts <= CUTOFF, d[np.minimum(self.counts, CUTOFF)], 1.0)
         p = factor * self.counts / max(self.total, 1)
@@ -298,6 +298,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     levels = counted.select("bucket", F.explode(F.arrays_zip("levels", "level_sizes")).alias("x")).select("bucket", F.col("x.levels").alias("level"), F.col("x.level_sizes").alias("n"))
     # distinct counts: at most the square root of twice the number of tokens
     unigrams = Unigrams([tuple(r) for r in levels.groupBy("level").agg(F.sum("n")).collect()])
+    if unigrams.words >= BEGIN:
+        raise ValueError("word numbers are 32-bit: the corpus has too many distinct words")
     starts = dict(zip(unigrams.counts.tolist(), unigrams.starts.tolist()))
     before = Window.partitionBy("level").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = levels.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0)))
