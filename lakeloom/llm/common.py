@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +66,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bound the Arrow batches that Python workers hold; texts may be long."""
+    """Bound the Arrow batches that Python workers hold, as texts may be long, and show workers the package's folder."""
+    home = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), home]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

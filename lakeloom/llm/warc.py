@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import attach_groups, materialize, partitions, shared_path
+from lakeloom.llm.common import attach_groups, materialize, partitions, shared_path, small_batches
 
 #: What ends a WARC record (fixed value).
 END = "\r\n\r\n"
@@ -116,6 +116,7 @@ def url_key(url: str | None) -> str:
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
