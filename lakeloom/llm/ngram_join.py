@@ -4,10 +4,11 @@ The work goes in three parts, none of which lists the pairs of a group.
 
 1. *Rare shingles.* Documents with equal sets are one class. Each class sends
    its shingles of the lowest ``REGION`` of the hash range to buckets. A
-   shingle held by up to ``RARE`` classes gives pairs to verify; others are
-   *common*. In the order "uncommon low shingles by hash, then all others",
-   two similar sets share a shingle of their prefixes, so a class whose prefix
-   consists of uncommon low shingles finds all its partners here.
+   shingle held by up to ``RARE`` classes gives pairs; others are *common*.
+   A pair is verified if what it shares here and what it may share beyond can
+   reach the similarity. In the order "uncommon low shingles by hash, then all
+   others", two similar sets share a shingle of their prefixes, so a class
+   whose prefix consists of uncommon low shingles finds all its partners here.
 2. *Token groups.* The other classes are held apart. They are linked to leaders
    (smallest of those with an equal minimum hash), which are verified, and so
    form groups of similar documents. Among them shingles are counted by groups;
@@ -138,13 +139,14 @@ def _posted_pairs(table: pa.Table, buckets: int) -> pa.Table:
         if len(at):
             rows = keys[at[:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
-            pairs.append(np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1), axis=0))
-    pairs = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0)
+            pairs.append(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1))
+    pairs, shared = np.unique(np.concatenate([*pairs, np.zeros((0, 2), np.int64)]), axis=0, return_counts=True)
+    pairs = np.column_stack([pairs, shared])
     busy = keys[np.repeat(common, held)]
     busy, counts = np.unique(busy[busy != _NOBODY], return_counts=True)
     out = []
-    for kind, rows, by in ((0, pairs, pairs[:, 0]), (1, np.stack([busy, counts.astype(np.int64)], 1), busy)):
-        to = (by.view(np.uint64) % np.uint64(buckets)).astype(int)
+    for kind, rows in ((0, pairs), (1, np.stack([busy, counts.astype(np.int64)], 1))):
+        to = (rows[:, 0].astype(np.uint64) % np.uint64(buckets)).astype(int)
         order = np.argsort(to, kind="stable")
         rows, cuts = rows[order], np.searchsorted(to[order], np.arange(buckets + 1))
         out += [(b, kind, rows[cuts[b] : cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -153,18 +155,18 @@ def _posted_pairs(table: pa.Table, buckets: int) -> pa.Table:
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """Distinct pairs (a, b) and summed counts (a, null, count) of one destination."""
-    parts: dict[int, list[np.ndarray]] = {0: [np.zeros((0, 2), np.int64)], 1: [np.zeros((0, 2), np.int64)]}
+    """Pairs (a, b, shared shingles) and classes (a, null, common shingles) of one destination, summed over the buckets."""
+    parts: dict[int, list[np.ndarray]] = {0: [np.zeros((0, 3), np.int64)], 1: [np.zeros((0, 2), np.int64)]}
     for kind, rows in zip(table.column("kind").to_pylist(), table.column("rows").to_pylist()):
-        parts[kind].append(np.frombuffer(rows, np.int64).reshape(-1, 2))
-    pairs = np.unique(np.concatenate(parts[0]), axis=0)
-    counts = np.concatenate(parts[1])
-    keys, where = np.unique(counts[:, 0], return_inverse=True)
-    sums = np.bincount(where, counts[:, 1], len(keys)).astype(np.int64)
-    a = pa.array(np.concatenate([pairs[:, 0], keys]))
-    b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(keys), pa.int64())])
-    c = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(sums)])
-    return pa.table([a, b, c], names=["a", "b", "n_common"])
+        parts[kind].append(np.frombuffer(rows, np.int64).reshape(-1, 3 - kind))
+    sums = []
+    for rows in (np.concatenate(p) for p in parts.values()):
+        keys, where = np.unique(rows[:, :-1], axis=0, return_inverse=True)
+        sums.append((keys, np.bincount(where.ravel(), rows[:, -1], len(keys)).astype(np.int64)))
+    (pairs, shared), (busy, common) = sums
+    a = pa.array(np.concatenate([pairs[:, 0], busy[:, 0]]))
+    b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(busy), pa.int64())])
+    return pa.table([a, b, pa.array(np.concatenate([shared, common]))], names=["a", "b", "n"])
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -262,28 +264,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # 1. rare shingles
     posted = sketch.filter("kind = 1").groupBy("bucket").applyInArrow(lambda t: _posted_pairs(t, buckets), "dest int, kind int, rows binary")
-    found = materialize(posted.groupBy("dest").applyInArrow(_gathered, "a long, b long, n_common long"), "shingle-pairs")
-    ids = classes.select("k", "rep", "n")
-    may = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent
-    pairs = (
-        found.filter("b is not null").select(F.col("a").alias("k"), "b").join(ids, "k")
-        .select("b", F.col("rep").alias("rep_a"), "n").join(ids.select(F.col("k").alias("b"), F.col("rep").alias("rep_b"), F.col("n").alias("n_b")), "b")
-        .filter(may).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    )
-    pairs = materialize(pairs, "candidate-pairs")
+    found = materialize(posted.groupBy("dest").applyInArrow(_gathered, "a long, b long, n long"), "shingle-pairs")
+    rows = materialize(rows, "shingle-rows")
+    discard(sketch)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    common = found.filter("b is null").select(F.col("a").alias("k"), "n_common")
-    held = materialize(classes.join(common, "k", "left").filter(F.col("low") - F.coalesce("n_common", F.lit(0)) < prefix).select("rep", "n", "minima"), "held-apart")
+    common = found.filter("b is null").select(F.col("a").alias("k"), F.col("n").alias("n_common"))
+    # rest: shingles that part 1 cannot see, that is all but the uncommon low ones
+    known = classes.join(common, "k", "left").withColumn("rest", F.col("n") - F.col("low") + F.coalesce("n_common", F.lit(0))).select("k", "rep", "n", "rest", "minima")
+    known = materialize(known, "shingle-rests")
+    ends = [known.select(F.col("k").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("rest").alias(f"rest_{x}")) for x in "ab"]
+    pairs = found.filter("b is not null").withColumnRenamed("n", "shared").join(ends[0], "a").join(ends[1], "b")
+    overlap = F.col("shared") + F.least("rest_a", "rest_b")
+    pairs = pairs.filter(overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    pairs = materialize(pairs, "candidate-pairs")
+    held = materialize(known.filter(F.col("n") - F.col("rest") < prefix).select("rep", "n", "minima"), "held-apart")
 
     # 2. token groups
     minima = held.select("rep", F.posexplode("minima").alias("j", "m"))
     leaders = materialize(minima.groupBy("j", "m").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("j", "m", "leader"), "leaders")
     stars = materialize(minima.join(leaders, ["j", "m"]).filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "leader-pairs")
     need = held.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = texts.join(need, texts.doc == need.rep, "left_semi")
-    sets = materialize(wanted.mapInArrow(lambda it: _token_sets(it, size), "rep long, tokens array<long>, bits binary").dropDuplicates(["rep"]), "token-sets")
-    rows = materialize(rows, "shingle-rows")
-    discard(sketch)
+    wanted = texts.join(need.hint("merge"), texts.doc == need.rep, "left_semi")
+    sets = materialize(wanted.mapInArrow(lambda it: _token_sets(it, size), "rep long, tokens array<long>, bits binary"), "token-sets")
     links = materialize(_similar(pairs, sets, percent), "links-rare")
     star_links = materialize(_similar(stars, sets, percent), "links-leaders")
     owners = star_links.groupBy("b").agg(F.min("a").alias("owner")).withColumnRenamed("b", "rep")
