@@ -1,23 +1,41 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries: one or more for each group of operators, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lakeloom.column import spark as unwrap
+from lakeloom.frame import Frame
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder by name, as frames; nothing is read before use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> Frame:
+        return Frame(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+
+
+def query(sql: str | None = None):
+    """Register a function of :class:`Tables` as a query, with its SQL."""
+
+    def register(function: Callable[[Tables], Frame | DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return unwrap(function(Tables(spark, sf_dir)))
+
+        QUERIES[function.__name__] = run
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
 
-def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        lineitem.filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.sum(net).alias("sum_disc_price"), F.count(F.lit(1)).alias("count_order"))
-    )
+    return register
 
 
-QUERIES = {"tpch_q1": tpch_q1}
-ORACLE_SQL: dict[str, str] = {
-    "tpch_q1": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price, count(*) AS count_order "
-    "FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL"
-}
+from lakeloom.plans import functions_queries, relational, tpch  # noqa: E402,F401
