@@ -9,8 +9,11 @@ rank within their length class, so no piece passes through the driver.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,49 +23,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialize, small_batches
-from lakeloom.llm.units import splittable, unit_keys, unit_text
+from lakeloom.llm.units import PATTERN, splittable, unit_keys, unit_text
 
 #: Entries of a worker's cache of encoded units, after which it starts anew.
-CACHE = 500_000
+CACHE = 600_000
+#: Characters whose class no version of Unicode's tables disputes.
+PLAIN = re.compile("[\\x00-\\u024f]*")
 
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The bytes behind the letters that byte-level models write them with: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_ranks(config: dict) -> dict[bytes, int] | None:
+    """Token bytes and ids of a byte-level BPE file whose ids follow the order of its merges, else None."""
+    pre, model = config["pre_tokenizer"] or {}, config["model"]
+    if pre.get("type") != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or config["normalizer"] or model["type"] != "BPE" or model["dropout"] or model.get("ignore_merges"):
+        return None
+    vocabulary, alphabet = model["vocab"], byte_alphabet()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    added = {t["content"] for t in config["added_tokens"]}
+    if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(vocabulary) - len(added & vocabulary.keys()) != 256 + len(merges):
+        return None
+    return {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+
+
 def cached_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids by the ``tokenizers`` file at ``path``, without added special tokens.
 
-    A unit is encoded once for each worker as long as its cache holds it.
-    Texts that name an added token, or that have an unsafe space, go through
-    the tokenizer whole.
+    A unit is encoded once for each worker as long as its cache holds it, by
+    the faster of two libraries if the file's ids are merge ranks, for which
+    both give the same. Texts that name an added token or have an unsafe space
+    go through the file's own tokenizer whole, and so do all texts of other
+    kinds of tokenizers.
     """
     if path in _encoders:
         return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    ranks = merge_ranks(json.loads(tokenizer.to_str()))
+    fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    cache: dict[str, bytes] = {}
+    units: dict[str, bytes] = {}
 
-    def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def raw(text: str) -> bytes:
+        return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(cache) > CACHE:
-            cache.clear()
-        keyed = [unit_keys(t) if splittable(t) and not any(a in t for a in added) else None for t in texts]
+        if len(units) > CACHE:
+            units.clear()
+        keyed = [unit_keys(t) if fast and splittable(t) and not any(a in t for a in added) else None for t in texts]
         missing: set[str] = set()
         for keys in keyed:
             if keys is not None:
                 missing.update(keys)
-        missing -= cache.keys()
-        if missing:
-            new = list(missing)
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                cache.update(zip(part, raw([unit_text(k) for k in part])))
-        look = cache.__getitem__
-        return [b"".join(map(look, keys)) if keys is not None else raw([text])[0] for text, keys in zip(texts, keyed)]
+        for key in missing - units.keys():
+            text = unit_text(key)
+            units[key] = array("I", fast(text)).tobytes() if PLAIN.fullmatch(text) else raw(text)
+        look = units.__getitem__
+        return [b"".join(map(look, keys)) if keys is not None else raw(text) for text, keys in zip(texts, keyed)]
 
     _encoders[path] = encode
     return encode

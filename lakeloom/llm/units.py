@@ -11,6 +11,9 @@ from __future__ import annotations
 
 import re
 
+#: The pattern that byte-level BPE of this family splits texts by (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: A space inside a run of white space, neither its first nor its last character.
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
