@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 from lakeloom.functions.base import Any, Col, F, any_null, as_column, named, over_columns, spark
 
 _VARIANT = {
@@ -264,7 +266,6 @@ def check_json(c):
 @over_columns
 def check_xml(c):
     """Null for well-formed XML (and null), else the parser's message."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

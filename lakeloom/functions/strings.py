@@ -55,7 +55,7 @@ def base64_encode(c):
 def char(code: Any) -> Col:
     """The character of a Unicode code point."""
     code = named(code)
-    return Col(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE"))
+    return Col(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 chr = char
@@ -64,7 +64,7 @@ chr = char
 @over_columns
 def unicode(c):
     """Code point of the first character; 0 of the empty string."""
-    return F.when(c == "", 0).otherwise(F.conv(F.hex(F.encode(F.substring(c, 1, 1), "UTF-32BE")), 16, 10).cast("int"))
+    return F.when(c == "", 0).otherwise(F.conv(F.hex(F.encode(F.substring(c, 1, 1), "UTF-32")), 16, 10).cast("int"))
 
 
 def charindex(target: Any, source: Any, position: Any = 1) -> Col:
