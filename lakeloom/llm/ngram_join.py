@@ -10,13 +10,13 @@ The work goes in three parts, none of which lists the pairs of a group.
    others", two similar sets share a shingle of their prefixes, so a class
    whose prefix consists of uncommon low shingles finds all its partners here.
 2. *Token groups.* The other classes are held apart. They are linked to leaders
-   (smallest of those with an equal minimum hash), which are verified, and so
-   form groups of similar documents. Among them shingles are counted by groups;
+   (smallest of those with an equal minimum hash), which are verified, and the
+   components of all links so far are groups of similar documents. Among them shingles are counted by groups;
    rarest first, prefixes are posted by shingle. A posting list is cut into
    groups of documents alike in size, each with the union of its members'
    token bits, and a document opens only the groups whose union can hold enough
    of its tokens. What the members' own bits then still allow is verified.
-3. *Components* of the verified links, by stars.
+3. *Components* of the groups and the links between them.
 
 Every verification intersects the whole sets.
 """
@@ -42,7 +42,7 @@ RARE = 16
 #: Minimum hashes by which leaders are found.
 MINIMA = 4
 #: Bits of a document's token row, and documents of a token group.
-BITS, GROUP = 1024, 64
+BITS, GROUP = 4096, 64
 #: Documents in a block of a posting list; longer lists are compared block by block in different tasks.
 LIST_BLOCK = 2048
 #: Shingles that a task gathers before it sends them.
@@ -288,7 +288,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(wanted.mapInArrow(lambda it: _token_sets(it, size), "rep long, tokens array<long>, bits binary"), "token-sets")
     links = materialize(_similar(pairs, sets, percent), "links-rare")
     star_links = materialize(_similar(stars, sets, percent), "links-leaders")
-    owners = star_links.groupBy("b").agg(F.min("a").alias("owner")).withColumnRenamed("b", "rep")
+    owners = components(links.unionByName(star_links)).select(F.col("node").alias("rep"), F.col("root").alias("owner"))
     members = materialize(
         held.join(sets, "rep").join(owners, "rep", "left").select("rep", "n", F.element_at("minima", 1).alias("m"), F.coalesce("owner", "rep").alias("own"), "tokens", "bits"), "group-members"
     )
@@ -310,7 +310,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group_links = _similar(materialize(opened, "opened-pairs"), sets, percent)
 
     # 3. components
-    edges = links.unionByName(star_links).unionByName(group_links)
+    edges = group_links.unionByName(owners.select(F.col("owner").alias("a"), F.col("rep").alias("b")))
     roots = components(edges)
     groups = materialize(classes.join(roots, classes.rep == roots.node, "left").select("digest", "copies", F.coalesce("root", "rep").alias("component_id")), "class-components")
     linked = attach_groups(rows.filter("n > 0"), groups, "digest", "copies").select("doc", "n", "component_id")
