@@ -29,7 +29,7 @@ JOINS = {
 _threads = ThreadPoolExecutor(8, thread_name_prefix="lakeloom-async")
 
 
-def join_type(how: str | None) -> str:
+def join_kind(how: str | None) -> str:
     key = (how or "inner").lower().replace("_", "")
     if key not in JOINS:
         raise ValueError(f"unknown join type {how!r}")
@@ -293,7 +293,7 @@ class Frame:
 
         if isinstance(right, TableCall):
             return self.join_table_function(right)
-        kind = globals()["join_type"](how or join_type)
+        kind = join_kind(how or join_type)
         on = using_columns if on is None else on
         if right is self:
             raise ValueError("a frame cannot be joined with itself; give one side an alias")
@@ -335,7 +335,7 @@ class Frame:
     def natural_join(self, right: Frame, how: str | None = None, directed: bool = False) -> Frame:
         have = {c.lower() for c in spark(right).columns}
         shared = [c for c in self.columns if c.lower() in have]
-        return Frame(self._df.join(spark(right), shared, join_type(how))) if shared else self.cross_join(right)
+        return Frame(self._df.join(spark(right), shared, join_kind(how))) if shared else self.cross_join(right)
 
     def cross_join(self, right: Frame, lsuffix: str = "", rsuffix: str = "", directed: bool = False) -> Frame:
         return self.join(right, None, "cross", lsuffix, rsuffix)

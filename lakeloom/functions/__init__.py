@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lakeloom.column import Col, spark
+from lakeloom.column import Col, named, spark
 from lakeloom.functions import aggregates, conditional, context, datetimes, files, geo, models, numeric, semistructured, strings
 
 #: Names of the library whose semantics are those of another Spark function.
@@ -28,7 +28,7 @@ ALIASES = {
     "map_size": "size", "mean": "avg", "object_keys": "map_keys", "percentile_cont": "percentile", "regexp_substr_all": "regexp_extract_all", "sign": "signum", "sql_expr": "expr",
     "stddev": "stddev_samp", "systimestamp": "current_timestamp", "time_from_parts": "make_time", "timestamp_from_parts": "make_timestamp_ntz", "timestamp_ltz_from_parts": "make_timestamp_ltz",
     "timestamp_ntz_from_parts": "make_timestamp_ntz", "uuid_string": "uuid", "variance": "var_samp", "greatest_ignore_nulls": "greatest", "least_ignore_nulls": "least",
-    "array_agg_distinct": "collect_set",
+    "array_agg_distinct": "collect_set", "pandas_udtf": "udtf", "vectorized": "pandas_udf",
 }
 
 _MODULES = (aggregates, conditional, numeric, strings, datetimes, semistructured, geo, models, context, files)
@@ -92,3 +92,53 @@ def last_value(column: Any, ignore_nulls: bool = False) -> Col:
 
 def nth_value(column: Any, n: int, ignore_nulls: bool = False) -> Col:
     return _late("nth_value")(column, n, ignore_nulls=ignore_nulls)
+
+
+def function(name: str):
+    """A function of Spark's by name: ``function("sqrt")("x")``."""
+    return lambda *columns: Col(F.call_function(name, *[named(c) for c in columns]))
+
+
+def table_function(name: str):
+    """A table function by name, to be joined or selected from."""
+    from lakeloom.udf import TableCall
+
+    return lambda *arguments, **named_arguments: TableCall(name, *arguments, **named_arguments)
+
+
+def call_table_function(name: str, *arguments: Any, **named_arguments: Any):
+    return table_function(name)(*arguments, **named_arguments)
+
+
+def _registered(kind: str):
+    def register(handler: Any, *args: Any, **kwargs: Any):
+        from lakeloom.session import Session
+
+        return getattr(Session.get_active_session(), kind).register(handler, *args, **kwargs)
+
+    return register
+
+
+udaf, sproc = _registered("udaf"), _registered("sproc")
+
+
+def udf_init_once(function: Callable) -> Callable:
+    """Run a function without arguments once for each worker and keep its result."""
+    return functools.lru_cache(maxsize=1)(function)
+
+
+def when_matched(condition: Any = None):
+    from lakeloom.operators.dml import WhenMatched
+
+    return WhenMatched(condition)
+
+
+def when_not_matched(condition: Any = None):
+    from lakeloom.operators.dml import WhenNotMatched
+
+    return WhenNotMatched(condition)
+
+
+def to_decfloat(column: Any, scale: int = 18) -> Col:
+    """A decimal of 38 digits; Spark has no decimal floating point."""
+    return Col(named(column).cast(f"decimal(38,{scale})"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lakeloom.functions.base import Any, Col, F, named, over_columns
 
-__all__ = ["build_stage_file_url", "fl_get_content_type", "fl_get_file_type", "fl_get_relative_path", "fl_is_audio", "fl_is_compressed", "fl_is_document", "fl_is_image", "fl_is_video", "fl_get_size", "fl_get_last_modified", "fl_get_stage"]
+__all__ = ["build_stage_file_url", "fl_get_content_type", "fl_get_file_type", "fl_get_relative_path", "fl_is_audio", "fl_is_compressed", "fl_is_document", "fl_is_image", "fl_is_video", "fl_get_size", "fl_get_last_modified", "fl_get_stage", "fl_get_etag", "fl_get_scoped_file_url", "fl_get_stage_file_url", "to_file"]
 
 #: Kinds of files by extension (fixed values).
 KINDS = {
@@ -66,3 +66,22 @@ def fl_get_last_modified(row: Any) -> Col:
 
 def build_stage_file_url(stage: str, path: Any) -> Col:
     return Col(F.concat(F.lit(stage.rstrip("/") + "/"), named(path) if not isinstance(path, str) else F.lit(path)))
+
+
+def fl_get_etag(row: Any) -> Col:
+    """A digest of a file's path, length and time, which changes when the file does."""
+    row = named(row)
+    return Col(F.md5(F.concat_ws("|", row["path"], row["length"].cast("string"), row["modificationTime"].cast("string"))))
+
+
+def fl_get_stage_file_url(row: Any) -> Col:
+    return Col(named(row)["path"])
+
+
+fl_get_scoped_file_url = fl_get_stage_file_url
+
+
+def to_file(path: Any) -> Col:
+    """A struct of a file's path and what its path says of it."""
+    path = named(path)
+    return Col(F.struct(path.alias("path"), fl_get_relative_path(path).c.alias("relative_path"), fl_get_content_type(path).c.alias("content_type")))

@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType
 
 from lakeloom.functions.base import Any, Col, F, named
 
-__all__ = ["ai_agg", "ai_classify", "ai_complete", "ai_count_tokens", "ai_embed", "ai_extract", "ai_filter", "ai_parse_document", "ai_redact", "ai_sentiment", "ai_similarity", "ai_summarize_agg", "ai_transcribe", "ai_translate", "prompt", "register_model", "split_text_markdown_header", "split_text_recursive_character"]
+__all__ = ["ai_agg", "ai_classify", "ai_complete", "ai_count_tokens", "ai_embed", "ai_extract", "ai_filter", "ai_parse_document", "ai_redact", "ai_sentiment", "ai_similarity", "ai_summarize_agg", "ai_multi_embed", "ai_transcribe", "ai_translate", "model", "service", "prompt", "register_model", "split_text_markdown_header", "split_text_recursive_character"]
 
 _models: dict[str, Callable[..., pd.Series]] = {}
 
@@ -48,6 +48,17 @@ ai_complete, ai_classify, ai_extract, ai_redact, ai_translate, ai_transcribe, ai
 ai_embed, ai_filter, ai_sentiment = _task("embed", "array<float>"), _task("filter", "boolean"), _task("sentiment", "double")
 
 
+ai_multi_embed = _task("multi_embed", "array<float>")
+
+
+def model(name: str, result: str = "string") -> Callable[..., Col]:
+    """A registered model by name, as a function of columns."""
+    return lambda *columns: _call(name, result, *columns)
+
+
+service = model
+
+
 def ai_similarity(a: Any, b: Any) -> Col:
     """Cosine similarity of two embeddings."""
     from lakeloom.functions.numeric import vector_cosine_distance
