@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -40,7 +41,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lakeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that it ran, not the
@@ -48,7 +49,7 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path, compression=compression)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out
@@ -62,7 +63,13 @@ def discard(*tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(table._lakeloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import discard, materialize, partitions, small_batches
+from lakeloom.llm.common import discard, materialize, partitions, release, small_batches
 from lakeloom.llm.shingles import word_hashes
 
 #: Words after which a task closes a chunk.
@@ -34,6 +35,15 @@ CUTOFF = 5
 END, BEGIN = np.uint64(0x5BD1E995E6546B64), np.uint32(2**32 - 1)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed: most of what travels is small numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes()) if len(values) else b""
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if data else b"", kind)
+
+
 def discounts(kinds: dict[int, int]) -> np.ndarray:
     """d[r] for r up to ``CUTOFF`` (d[0] unused), from the numbers of n-grams seen r times.
 
@@ -100,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         rows = [(0, chunk, None, np.array(docs, np.int64), np.array(held), lengths.astype(np.int64), rank[places], None)]
         rows += [(1, chunk, b, None, None, None, distinct[cuts[b] : cuts[b + 1]], counts[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b + 1] > cuts[b]]
         for row in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() if isinstance(v, np.ndarray) else v], t) for v, t in zip(row, kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([pack(v) if isinstance(v, np.ndarray) else v], t) for v, t in zip(row, kinds)], names=names)
 
     for batch in batches:
         with np.errstate(over="ignore"):
@@ -123,26 +133,26 @@ CHUNKS = "kind int, chunk long, bucket int, docs binary, held binary, sizes bina
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    words = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("words").to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+    words = np.concatenate([unpack(x, np.uint64) for x in table.column("words").to_pylist()])
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
     distinct, places = np.unique(words, return_inverse=True)
     sums = np.bincount(places, counts, len(distinct)).astype(np.int64)
     order = np.lexsort((distinct, -sums))
     distinct, sums = distinct[order], sums[order]
     levels, n = np.unique(sums, return_counts=True)
     return pa.table(
-        [pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([distinct.tobytes()], pa.binary()), pa.array([levels.tolist()[::-1]], pa.list_(pa.int64())), pa.array([n.tolist()[::-1]], pa.list_(pa.int64()))],
+        [pa.array([table.column("bucket")[0].as_py()], pa.int32()), pa.array([pack(distinct)], pa.binary()), pa.array([levels.tolist()[::-1]], pa.list_(pa.int64())), pa.array([n.tolist()[::-1]], pa.list_(pa.int64()))],
         names=["bucket", "words", "levels", "level_sizes"],
     )
 
 
 def _number_words(asked: pa.Table, known: pa.Table, starts: dict[int, int]) -> pa.Table:
     """Global numbers of each chunk's words in one bucket."""
-    words = np.frombuffer(known.column("words")[0].as_py(), np.uint64)
+    words = unpack(known.column("words")[0].as_py(), np.uint64)
     numbers = np.concatenate([starts[v] + shift + np.arange(n) for v, n, shift in zip(*(known.column(c)[0].as_py() for c in ("levels", "level_sizes", "shifts")))]).astype(np.uint32)
     order = np.argsort(words)
     words, numbers = words[order], numbers[order]
-    out = [numbers[np.searchsorted(words, np.frombuffer(x, np.uint64))].tobytes() for x in asked.column("words").to_pylist()]
+    out = [pack(numbers[np.searchsorted(words, unpack(x, np.uint64))]) for x in asked.column("words").to_pylist()]
     return pa.table([asked.column("chunk"), asked.column("bucket"), pa.array(out, pa.binary())], names=["chunk", "bucket", "numbers"])
 
 
@@ -150,9 +160,9 @@ def _renumber(docs: pa.Table, parts: pa.Table) -> pa.Table:
     """A chunk's documents in global word numbers."""
     order = np.argsort(parts.column("bucket").to_numpy())
     blobs = parts.column("numbers").to_pylist()
-    numbers = np.concatenate([np.frombuffer(blobs[i], np.uint32) for i in order])
-    words = numbers[np.frombuffer(docs.column("words")[0].as_py(), np.uint32)]
-    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([words.tobytes()], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
+    numbers = np.concatenate([unpack(blobs[i], np.uint32) for i in order])
+    words = numbers[unpack(docs.column("words")[0].as_py(), np.uint32)]
+    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([pack(words)], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
 
 
 ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary"
@@ -181,9 +191,9 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
     """Each chunk's distinct bigrams by bucket: histories with their numbers of words, the words, training counts."""
     for batch in batches:
         for chunk, _, held, sizes, words in zip(*(c.to_pylist() for c in batch.columns)):
-            sizes, words = np.frombuffer(sizes, np.int64), np.frombuffer(words, np.uint32)
+            sizes, words = unpack(sizes, np.int64), unpack(words, np.uint32)
             distinct, cuts, places = _bigrams(sizes, words, buckets)
-            train = np.repeat(~np.frombuffer(held, bool), sizes)
+            train = np.repeat(~unpack(held, bool), sizes)
             counts = np.bincount(places[train], minlength=len(distinct)).astype(np.uint32)
             for b in range(buckets):
                 part = distinct[cuts[b] : cuts[b + 1]]
@@ -191,12 +201,12 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
                     history = (part >> np.uint64(32)).astype(np.uint32)
                     first, n = _runs(history)
                     row = [history[first], n.astype(np.uint32), part.astype(np.uint32), counts[cuts[b] : cuts[b + 1]]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=["bucket", "chunk", "histories", "runs", "words", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in row)], names=["bucket", "chunk", "histories", "runs", "words", "counts"])
 
 
 def _answer(table: pa.Table, unigrams: Unigrams) -> pa.Table:
     """The model's rows of one bucket (chunk null) and, for each chunk, the counts of what it asked for."""
-    read = lambda column, i: np.frombuffer(table.column(column)[i].as_py(), np.uint32)
+    read = lambda column, i: unpack(table.column(column)[i].as_py(), np.uint32)
     asked = [(np.repeat(read("histories", i), read("runs", i)).astype(np.uint64) << np.uint64(32)) | read("words", i) for i in range(table.num_rows)]
     keys = np.concatenate(asked)
     counts = np.concatenate([read("counts", i) for i in range(table.num_rows)])
@@ -212,7 +222,7 @@ def _answer(table: pa.Table, unigrams: Unigrams) -> pa.Table:
     small = [add((sums == r).astype(np.int64)) for r in range(1, CUTOFF + 1)]
     kinds = np.bincount(np.minimum(sums, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].astype(np.int64)
     bucket = table.column("bucket")[0].as_py()
-    blob = lambda x, t: np.ascontiguousarray(x, t).tobytes()
+    blob = lambda x, t: pack(np.ascontiguousarray(x, t).ravel())
     out = [(None, bucket, blob(by_history, "<u4"), blob(n, "<u4"), blob(model & np.uint64(0xFFFFFFFF), "<u4"), blob(sums, "<u8"), blob(kinds, "<i8"))]
     for i, want in enumerate(asked):
         c = np.zeros(len(want), np.uint32)
@@ -235,16 +245,16 @@ ANSWERS = "chunk long, bucket int, histories binary, runs binary, words binary,
 
 
 def _score(docs: pa.Table, answers: pa.Table, unigrams: Unigrams, d: np.ndarray, buckets: int) -> pa.Table:
-    sizes, words = (np.frombuffer(docs.column(c)[0].as_py(), t) for c, t in (("sizes", np.int64), ("words", np.uint32)))
+    sizes, words = (unpack(docs.column(c)[0].as_py(), t) for c, t in (("sizes", np.int64), ("words", np.uint32)))
     distinct, cuts, places = _bigrams(sizes, words, buckets)
     logs = np.zeros(len(distinct))
     log_uni = np.log10(unigrams.p)
     for i, b in enumerate(answers.column("bucket").to_pylist()):
         part = distinct[cuts[b] : cuts[b + 1]]
         _, n = _runs(part >> np.uint64(32))
-        c = np.frombuffer(answers.column("counts")[i].as_py(), np.uint32).astype(np.int64)
-        p_seen = np.frombuffer(answers.column("words")[i].as_py(), "<f8")
-        stats = np.frombuffer(answers.column("stats")[i].as_py(), np.uint32).reshape(CUTOFF + 1, -1).astype(np.float64)
+        c = unpack(answers.column("counts")[i].as_py(), np.uint32).astype(np.int64)
+        p_seen = unpack(answers.column("words")[i].as_py(), "<f8")
+        stats = unpack(answers.column("stats")[i].as_py(), np.uint32).reshape(CUTOFF + 1, -1).astype(np.float64)
         total, small = stats[0], stats[1:]
         r = np.arange(1, CUTOFF + 1)[:, None]
         lost = (small * r * (1 - d[1:, None])).sum(axis=0)
@@ -260,10 +270,10 @@ def _score(docs: pa.Table, answers: pa.Table, unigrams: Unigrams, d: np.ndarray,
     level = unigrams.level(words)
     counts = unigrams.counts[level]
     base_logs = np.log10((unigrams.counts + 1) / (unigrams.total + unigrams.kinds + 1))[level]
-    ids = np.frombuffer(docs.column("docs")[0].as_py(), np.int64)
+    ids = unpack(docs.column("docs")[0].as_py(), np.int64)
     columns = [
         pa.array(ids, pa.int64(), mask=ids == -(2**63)),
-        pa.array(np.frombuffer(docs.column("held")[0].as_py(), bool)),
+        pa.array(unpack(docs.column("held")[0].as_py(), bool)),
         pa.array(sizes),
         pa.array(np.add.reduceat((counts > 0).astype(np.int64), first)),
         pa.array(np.full(len(sizes), unigrams.total, np.int64)),
@@ -292,7 +302,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = partitions(spark)
     held = held_out(id_col) if held is None else held
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = materialize(rows.mapInArrow(lambda it: _chunks(it, buckets), CHUNKS), "lm-chunks", compression="zstd")
+    chunks = materialize(rows.mapInArrow(lambda it: _chunks(it, buckets), CHUNKS), "lm-chunks")
     asked = chunks.filter("kind = 1").select("chunk", "bucket", "words", "counts")
     counted = materialize(asked.groupBy("bucket").applyInArrow(_count_words, "bucket int, words binary, levels array<long>, level_sizes array<long>"), "lm-words")
     levels = counted.select("bucket", F.explode(F.arrays_zip("levels", "level_sizes")).alias("x")).select("bucket", F.col("x.levels").alias("level"), F.col("x.level_sizes").alias("n"))
@@ -307,17 +317,18 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = counted.join(shifts, "bucket")
     numbers = asked.select("chunk", "bucket", "words").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: _number_words(a, b, starts), "chunk long, bucket int, numbers binary")
     encoded = chunks.filter("kind = 0").select("chunk", "docs", "held", "sizes", "words").groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(_renumber, ENCODED)
-    encoded = materialize(encoded, "lm-encoded", compression="zstd")
+    encoded = materialize(encoded, "lm-encoded")
     discard(chunks, counted)
 
-    wanted = encoded.mapInArrow(lambda it: _ask(it, buckets), "bucket int, chunk long, histories binary, runs binary, words binary, counts binary")
-    model = materialize(wanted.groupBy("bucket").applyInArrow(lambda t: _answer(t, unigrams), ANSWERS), "lm-model", compression="zstd")
-    spark.sparkContext._jvm.System.gc()
+    parts = 4 * buckets  # more and so smaller groups of bigrams than of words
+    wanted = encoded.mapInArrow(lambda it: _ask(it, parts), "bucket int, chunk long, histories binary, runs binary, words binary, counts binary")
+    model = materialize(wanted.groupBy("bucket").applyInArrow(lambda t: _answer(t, unigrams), ANSWERS), "lm-model")
+    release(spark)
     kinds: dict[int, int] = {}
     for row in model.filter("chunk is null").select("stats").toLocalIterator():
-        for r, n in enumerate(np.frombuffer(row.stats, "<i8").tolist(), 1):
+        for r, n in enumerate(unpack(row.stats, "<i8").tolist(), 1):
             kinds[r] = kinds.get(r, 0) + n
     d = discounts(kinds)
     answers = model.filter("chunk is not null").select("chunk", "bucket", "words", "counts", "stats")
     schema = "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, unigrams, d, buckets), schema).withColumnRenamed("doc", id_col)
+    return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, unigrams, d, parts), schema).withColumnRenamed("doc", id_col)
