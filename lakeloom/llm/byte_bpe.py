@@ -3,7 +3,7 @@
 Documents are split, in chunks, into units (pre-tokens between two spaces, see
 :mod:`lakeloom.llm.units`). Each chunk sends its distinct units to the bucket
 of their hash, where each is encoded once for the whole corpus; ids go back to
-the chunks, which put them together by position. Decoding looks ids up in the
+the chunks, which put them together by position. What travels is compressed. Decoding looks ids up in the
 token-byte table.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from lakeloom.llm.common import partitions, small_batches
 from lakeloom.llm.units import splittable, unit_keys, unit_text
 
 #: Characters of text after which a task closes a chunk.
-CHUNK = 6_000_000
+CHUNK = 8_000_000
 
 _loaded: dict[tuple[str, str], tuple] = {}
 
@@ -48,23 +49,43 @@ def encoding(path: str, pattern: str):
     return _loaded[path, pattern]
 
 
-def with_chunk(rows: DataFrame) -> DataFrame:
-    """(doc, text, chunk): rows of a task in scan order, cut every ``CHUNK`` characters."""
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+    """(chunk, ids, texts) of a task's rows in scan order, cut after every ``CHUNK`` characters."""
+    chunk, size, docs, texts = TaskContext.get().partitionId() << 32, 0, [], []
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs.append(doc)
+            texts.append(text)
+            size += len(text) + 1
+            if size >= CHUNK:
+                yield chunk, docs, texts
+                chunk, size, docs, texts = chunk + 1, 0, [], []
+    if docs:
+        yield chunk, docs, texts
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            of = []
-            for length in pa.compute.utf8_length(batch.column(1)).to_pylist():
-                if size >= CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += length + 1
-                of.append(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(of, pa.int64())], names=["doc", "text", "chunk"])
 
-    import pyarrow.compute  # noqa: F401
+def blob(strings: list[str]) -> tuple[bytes, int]:
+    """Strings as compressed bytes, and the CRC of what is compressed."""
+    parts = [s.encode("utf-8", "surrogatepass") for s in strings]
+    data = len(parts).to_bytes(8, "little") + np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+    return zstandard.ZstdCompressor(level=3).compress(data), zlib.crc32(data)
+
+
+def unblob(compressed: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(compressed)
+    n = int.from_bytes(data[:8], "little")
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64) + 8 + 4 * n).tolist()
+    return [data[x:y] for x, y in zip([8 + 4 * n, *ends], ends)]
+
+
+def packed_chunks(rows: DataFrame) -> DataFrame:
+    """(chunk, docs, texts): a row for each chunk, its texts compressed together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, docs, texts in cut(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([blob(texts)[0]], pa.binary())], names=["chunk", "docs", "texts"])
 
-    return rows.mapInArrow(run, "doc long, text string, chunk long")
+    return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary")
 
 
 def bucketed(units: set[str], buckets: int) -> dict[int, list[str]]:
@@ -75,30 +96,22 @@ def bucketed(units: set[str], buckets: int) -> dict[int, list[str]]:
     return out
 
 
-def distinct_units(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, units): what each chunk needs encoded."""
+def distinct_units(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, units): what each chunk needs encoded, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, units = None, set()
-
-        def rows() -> pa.RecordBatch:
-            lists = bucketed(units, buckets)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(lists), pa.int32()), pa.array([at] * len(lists), pa.int64()), pa.array(list(lists.values()), pa.list_(pa.string()))], names=["bucket", "chunk", "units"]
-            )
-
-        for batch in batches:
-            for text, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if chunk != at:
-                    if units:
-                        yield rows()
-                    at, units = chunk, set()
+        for chunk, _, texts in cut(batches):
+            units: set[str] = set()
+            for text in texts:
                 if splittable(text) and (keys := unit_keys(text)) is not None:
                     units.update(keys)
-        if units:
-            yield rows()
+            lists = bucketed(units, buckets)
+            if lists:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(lists), pa.int32()), pa.array([chunk] * len(lists), pa.int64()), pa.array([blob(u)[0] for u in lists.values()], pa.binary())], names=["bucket", "chunk", "units"]
+                )
 
-    return chunks.select("text", "chunk").mapInArrow(run, "bucket int, chunk long, units array<string>")
+    return rows.mapInArrow(run, "bucket int, chunk long, units binary")
 
 
 def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -117,56 +130,66 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = with_chunk(rows)
     buckets = partitions(spark)
 
     def encode(table: pa.Table) -> pa.Table:
         bpe, _ = encoding(ranks, pattern)
-        known: dict[str, bytes] = {}
+        known: dict[bytes, bytes] = {}
         ids, sizes, checks = [], [], []
-        for units in table.column("units").to_pylist():
+        for compressed in table.column("units").to_pylist():
+            units = unblob(compressed)
             for unit in units:
                 if unit not in known:
-                    known[unit] = np.array(bpe.encode_ordinary(unit_text(unit)), "<u4").tobytes()
+                    known[unit] = np.array(bpe.encode_ordinary(unit_text(unit.decode())), "<u4").tobytes()
             parts = [known[u] for u in units]
-            ids.append(b"".join(parts))
-            sizes.append(np.array([len(p) // 4 for p in parts], "<u4").tobytes())
-            checks.append(zlib.crc32("\n".join(units).encode("utf-8", "surrogatepass")))
+            ids.append(zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
+            sizes.append(zstandard.ZstdCompressor(level=1).compress(np.array([len(p) // 4 for p in parts], "<u4").tobytes()))
+            checks.append(zlib.crc32(zstandard.ZstdDecompressor().decompress(compressed)))
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "check": pa.array(checks, pa.int64())})
 
-    encoded = distinct_units(chunks, buckets).groupBy("bucket").applyInArrow(encode, "chunk long, bucket int, ids binary, sizes binary, check long")
+    encoded = distinct_units(rows, buckets).groupBy("bucket").applyInArrow(encode, "chunk long, bucket int, ids binary, sizes binary, check long")
 
-    def reassemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def reassemble(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         bpe, tokens = encoding(ranks, pattern)
         decimal = [b"%d" % i for i in range(len(tokens))]
-        keyed = [unit_keys(t) if splittable(t) else None for t in texts.column("text").to_pylist()]
+        ids_of = chunk.column("docs")[0].as_py()
+        texts = [t.decode("utf-8", "surrogatepass") for t in unblob(chunk.column("texts")[0].as_py())]
+        keyed = [unit_keys(t) if splittable(t) else None for t in texts]
         wanted = bucketed(set().union(*(k for k in keyed if k is not None)), buckets)
         known: dict[str, bytes] = {}
+        open_ = zstandard.ZstdDecompressor().decompress
         for bucket, ids, sizes, check in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "sizes", "check"))):
             units = wanted.get(bucket, [])
-            if zlib.crc32("\n".join(units).encode("utf-8", "surrogatepass")) == check:
-                ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64) * 4).tolist()
-                known.update(zip(units, (ids[a:b] for a, b in zip([0, *ends], ends))))
+            if blob_check(units) == check:
+                ids = open_(ids)
+                ends = np.cumsum(np.frombuffer(open_(sizes), "<u4").astype(np.int64) * 4).tolist()
+                known.update(zip(units, (ids[x:y] for x, y in zip([0, *ends], ends))))
         for units in wanted.values():
             for unit in units:
                 if unit not in known:
                     known[unit] = np.array(bpe.encode_ordinary(unit_text(unit)), "<u4").tobytes()
         look, out = known.__getitem__, []
-        for text, keys in zip(texts.column("text").to_pylist(), keyed):
-            blob = b"".join(map(look, keys)) if keys is not None else np.array(bpe.encode_ordinary(text), "<u4").tobytes()
-            ids = np.frombuffer(blob, "<u4").tolist()
+        for text, keys in zip(texts, keyed):
+            data = b"".join(map(look, keys)) if keys is not None else np.array(bpe.encode_ordinary(text), "<u4").tobytes()
+            ids = np.frombuffer(data, "<u4").tolist()
             decoded = b"".join(map(tokens.__getitem__, ids))
             if digests:
                 out.append((len(ids), hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             else:
-                out.append((blob, decoded))
+                out.append((data, decoded))
         types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.binary(), pa.binary()]
         columns = list(zip(*out)) if out else [[]] * len(types)
-        return pa.Table.from_arrays([texts.column("doc"), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *names])
+        return pa.Table.from_arrays([pa.array(ids_of, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *names])
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"`{id_col}` long, ids binary, decoded binary"
-    return chunks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, schema)
+    return packed_chunks(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, schema)
+
+
+def blob_check(strings: list[str]) -> int:
+    """The CRC that :func:`blob` gives."""
+    parts = [s.encode("utf-8", "surrogatepass") for s in strings]
+    return zlib.crc32(b"".join(parts), zlib.crc32(np.array([len(p) for p in parts], "<u4").tobytes(), zlib.crc32(len(parts).to_bytes(8, "little"))))
 
 
 def decode(encoded: DataFrame, token_bytes: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
