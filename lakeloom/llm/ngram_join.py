@@ -43,6 +43,8 @@ RARE = 16
 MINIMA = 4
 #: Bits of a document's token row, and documents of a token group.
 BITS, GROUP = 4096, 64
+#: Documents that are compared with a token group at once.
+QUERIES = 256
 #: Documents in a block of a posting list; longer lists are compared block by block in different tasks.
 LIST_BLOCK = 2048
 #: Shingles that a task gathers before it sends them.
@@ -203,6 +205,7 @@ def _open_groups(table: pa.Table, percent: int) -> pa.Table:
     cell = cell[order]
     rep, own, n, side = (table.column(c).to_numpy()[order] for c in ("rep", "own", "n", "side"))
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
+    filled = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     pairs = [np.zeros((0, 2), np.int64)]
     total = 100 + percent
@@ -215,19 +218,21 @@ def _open_groups(table: pa.Table, percent: int) -> pa.Table:
             stop = min(g + GROUP, end)
             union = np.bitwise_or.reduce(bits[g:stop], axis=0)
             queries = np.arange(start, stop)  # later ones meet this group from their own
-            missing = np.bitwise_count(bits[queries] & ~union).sum(axis=1).astype(np.int64)
+            missing = np.concatenate([np.bitwise_count(bits[at : min(at + QUERIES, stop)] & ~union).sum(axis=1).astype(np.int64) for at in range(start, stop, QUERIES)])
             queries = queries[enough(n[queries] - missing, n[queries], n[g])]
             if not len(queries):
                 continue
-            q, d = np.repeat(queries, stop - g), np.tile(np.arange(g, stop), len(queries))
-            fit = (q < d) & (own[q] != own[d]) & ((side[q] != side[d]) | (side[q] == 2))
-            q, d = q[fit], d[fit]
-            if not len(q):
-                continue
-            both = bits[q] & bits[d]
-            most = np.minimum(n[q] - np.bitwise_count(bits[q] ^ both).sum(axis=1), n[d] - np.bitwise_count(bits[d] ^ both).sum(axis=1))
-            fit = enough(most, n[q], n[d])
-            pairs.append(np.stack([np.minimum(rep[q[fit]], rep[d[fit]]), np.maximum(rep[q[fit]], rep[d[fit]])], 1))
+            for at in range(0, len(queries), QUERIES):
+                some = queries[at : at + QUERIES]
+                q, d = np.repeat(some, stop - g), np.tile(np.arange(g, stop), len(some))
+                fit = (q < d) & (own[q] != own[d]) & ((side[q] != side[d]) | (side[q] == 2))
+                q, d = q[fit], d[fit]
+                if not len(q):
+                    continue
+                both = np.bitwise_count(bits[q] & bits[d]).sum(axis=1)
+                most = np.minimum(n[q] - filled[q] + both, n[d] - filled[d] + both)
+                fit = enough(most, n[q], n[d])
+                pairs.append(np.stack([np.minimum(rep[q[fit]], rep[d[fit]]), np.maximum(rep[q[fit]], rep[d[fit]])], 1))
     found = np.unique(np.concatenate(pairs), axis=0)
     return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
