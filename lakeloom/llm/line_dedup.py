@@ -77,6 +77,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "line-bitmaps")
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    joined = rows.join(bitmaps, id_col, "left").select(id_col, "text_", kept_lines(F.col("text_"), F.col("drop_bits")).alias("kept_"))
+    joined = rows.join(bitmaps.hint("merge"), id_col, "left").select(id_col, "text_", kept_lines(F.col("text_"), F.col("drop_bits")).alias("kept_"))
     n_lines = F.size(F.split("text_", "\n", -1)).cast("long")
     return joined.select(id_col, n_lines.alias("n_lines"), (n_lines - F.size("kept_")).alias("n_dropped"), F.array_join("kept_", "\n").alias("kept_text"))
