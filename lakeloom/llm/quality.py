@@ -2,8 +2,8 @@
 
 DataFrame and SQL functions only. Each rule votes for or against a document or
 abstains. Expectation-maximisation over all documents estimates how each rule
-votes on good and on bad documents, and the posterior probability of quality
-replaces an all-rules-must-pass filter.
+votes on good documents and on those with each kind of defect, and the
+posterior probability of quality replaces an all-rules-must-pass filter.
 """
 
 from __future__ import annotations
@@ -98,54 +98,69 @@ def votes(rules=None) -> list[Column]:
     return [F.when(of[m] >= against, -1).when(of[m] <= good, 1).otherwise(0).alias(f"v_{name}") for name, m, against, good in (rules or RULES)]
 
 
-#: What is known of the rules beforehand, as bounds on the likelihood ratios that are estimated: a vote against
-#: is at least so many times likelier for a bad document, and a vote for at most so many times likelier for a good one.
-AGAINST_ODDS, FOR_ODDS = 50.0, 1.2
+#: What is known of the rules beforehand: the share of good documents, and how often a rule votes against a good document,
+#: against a document with the defect that it looks for, and against one with another defect.
+GOOD_SHARE, AGAINST_GOOD, AGAINST_OWN, AGAINST_OTHER = 0.8, 0.02, 0.9, 0.03
+#: How much this counts, as shares of all documents for the votes and for the classes' sizes, and for the votes in documents
+#: at least: many documents overrule it, few do not.
+VOTE_WEIGHT, SHARE_WEIGHT, LEAST_WEIGHT = 0.02, 0.5, 200
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
-    """Estimate the share of good documents and, for each rule, the log-odds that its votes add.
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> list[tuple[float, list[float]]]:
+    """Estimate the classes of documents: their shares, and how often each rule votes against a document of the class.
 
     ``patterns`` are distinct vote vectors with counts: at most 3 to the power
-    of the number of rules, whatever the number of documents. Starts from
-    "bad if any rule votes against", and keeps the estimates within
-    ``AGAINST_ODDS`` and ``FOR_ODDS``: rules each see one kind of defect, so
-    that without bounds the two classes drift towards whatever splits the
-    corpus best. Abstaining adds nothing.
+    of the number of rules, whatever the number of documents. The first class
+    are the good documents; each rule has another one for the defect that it
+    looks for, as rules see different defects and so disagree on bad documents.
+    Starts from the prior. A rule whose votes against go with no others' gains
+    nothing by a class of its own: the estimate for good documents rises, and
+    such a vote alone no longer rejects. Abstaining adds nothing.
     """
     if not patterns:
-        return 0.5, []
-    good = [0.05 if -1 in p else 0.95 for p, _ in patterns]
+        return []
+    rules = len(patterns[0][0])
     total = sum(n for _, n in patterns)
-    share, weights = 0.5, []
+    prior = [(GOOD_SHARE, [AGAINST_GOOD] * rules)]
+    prior += [((1 - GOOD_SHARE) / rules, [AGAINST_OWN if i == j else AGAINST_OTHER for i in range(rules)]) for j in range(rules)]
+    classes, last = prior, None
+    weight, share_weight = max(LEAST_WEIGHT, VOTE_WEIGHT * total), SHARE_WEIGHT * total
     for _ in range(rounds):
-        n_good = sum(g * n for g, (_, n) in zip(good, patterns))
-        share = min(0.99, max(0.5, (n_good + 1) / (total + 2)))
-        weights = []
-        for j in range(len(patterns[0][0])):
-            ratio = {}
-            for v in (-1, 1):
-                of_good = sum(g * n for g, (p, n) in zip(good, patterns) if p[j] == v)
-                of_all = sum(n for p, n in patterns if p[j] == v)
-                ratio[v] = ((of_good + 0.1) / (n_good + 0.3)) / ((of_all - of_good + 0.1) / (total - n_good + 0.3))
-            weights.append({-1: math.log(min(1 / AGAINST_ODDS, ratio[-1])), 0: 0.0, 1: math.log(min(FOR_ODDS, max(1.0, ratio[1])))})
-        new = []
+        member = []
         for p, _ in patterns:
-            odds = math.log(share / (1 - share)) + sum(w[v] for w, v in zip(weights, p))
-            new.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
-        moved = max(abs(a - b) for a, b in zip(new, good))
-        good = new
-        if moved < 1e-9:
+            logs = [math.log(share) + sum(math.log(x if v == -1 else 1 - x) for x, v in zip(against, p) if v) for share, against in classes]
+            odds = [math.exp(x - max(logs)) for x in logs]
+            member.append([x / sum(odds) for x in odds])
+        good = [m[0] for m in member]
+        if last is not None and max(abs(a - b) for a, b in zip(good, last)) < 1e-9:
             break
-    return share, weights
-
-
-def posterior(share: float, weights: list[dict[int, float]], rules=None) -> Column:
+        last, new = good, []
+        for c, (share, against) in enumerate(prior):
+            held = [m[c] * n for m, (_, n) in zip(member, patterns)]
+            known = weight if c == 0 else weight * (1 - GOOD_SHARE) * 5 / rules
+            rates = []
+            for j, x in enumerate(against):
+                votes_against = sum(h for h, (p, _) in zip(held, patterns) if p[j] == -1)
+                votes_for = sum(h for h, (p, _) in zip(held, patterns) if p[j] == 1)
+                rates.append((votes_against + known * x) / (votes_against + votes_for + known))
+            new.append(((sum(held) + share_weight * share) / (total + share_weight), rates))
+        classes = new
+    return classes
+
+
+def posterior(classes: list[tuple[float, list[float]]], rules=None) -> Column:
     """P(good | votes) as an expression over the vote columns."""
-    odds = F.lit(math.log(share / (1 - share)))
-    for (name, *_), w in zip(rules or RULES, weights):
-        odds = odds + F.when(F.col(f"v_{name}") == -1, F.lit(w[-1])).when(F.col(f"v_{name}") == 1, F.lit(w[1])).otherwise(F.lit(0.0))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    if not classes:
+        return F.lit(0.5)
+    (share, good), *bad = classes
+    total = F.lit(1.0)
+    for other, against in bad:
+        odds = F.lit(math.log(other / share))
+        for (name, *_), x, y in zip(rules or RULES, against, good):
+            vote = F.col(f"v_{name}")
+            odds = odds + F.when(vote == -1, F.lit(math.log(x / y))).when(vote == 1, F.lit(math.log((1 - x) / (1 - y)))).otherwise(F.lit(0.0))
+        total = total + F.exp(odds)
+    return F.lit(1.0) / total
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, rules=None) -> DataFrame:
@@ -163,7 +178,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [f"v_{name}" for name, *_ in (rules or RULES)]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counted = scored.groupBy(*names).count().collect()
-    share, weights = expectation_maximisation(sorted((tuple(r[:-1]), r[-1]) for r in counted))
+    classes = expectation_maximisation(sorted((tuple(r[:-1]), r[-1]) for r in counted))
     return scored.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), posterior(share, weights, rules).alias("quality")
+        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), posterior(classes, rules).alias("quality")
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -122,3 +123,17 @@ def test_quality_model_finds_junk(spark):
             rows.append((2000 + i, "!! ".join(w).upper()))
     got = {r.doc_id: r.kept for r in quality.quality_rules(X.frame(spark, rows)).collect()}
     assert all(kept == (i < 1000) for i, kept in got.items())
+
+
+def test_quality_lets_estimated_accuracies_decide(spark):
+    rng = random.Random(1)
+    counts = Counter()
+    for _ in range(10_000):
+        bad = rng.random() < 0.1
+        counts[tuple([-1 if rng.random() < (0.6 if bad else 0.02) else 1 for _ in range(6)] + [-1 if rng.random() < 0.08 else 1])] += 1
+    classes = quality.expectation_maximisation(sorted(counts.items()))
+    names = [f"v_{name}" for name, *_ in quality.RULES]
+    rows = [(1,) * 7, (1,) * 6 + (-1,), (-1,) * 6 + (1,), (-1, -1, 1, 1, -1, 1, 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).select(quality.posterior(classes)).collect()]
+    # the last rule votes at random: alone it does not reject, as all-must-pass would; votes that go together do
+    assert [g >= 0.5 for g in got] == [True, True, False, False]
