@@ -1,16 +1,18 @@
 """Katz backoff language model: fit on part of a corpus and score all of it.
 
-Bigrams back off to unigrams, those to one unknown word. Good-Turing discounts
-come from counts over all training documents, and backoff weights are
-normalised exactly: what a history's seen words leave is spread over the
-unigram mass of the words it has not been seen with.
+N-grams back off order by order to unigrams, those to one unknown word.
+Good-Turing discounts come from counts over all training documents, and backoff
+weights are normalised exactly: what a history's seen words leave is spread over
+the lower order's mass of the words it has not been seen with.
 
 Texts are read once. Tasks cut them into chunks and number each chunk's words;
 distinct words go to buckets by hash, where they are counted, and come back as
 global numbers in order of falling count, so that a word's count can be told
-from its number by a short step function. Distinct bigrams of a chunk go to the
-bucket of their history, where the model's tables are made, and each chunk gets
-back the counts it needs, in the order it asked.
+from its number by a short step function. Then, for each order, distinct n-grams
+of a chunk go to the bucket of their history with the chunk's probabilities of
+the order below; each bucket's n-grams and backoff weights are stored as rows
+of two tables, and each chunk gets back from these what it needs, in the order
+it asked.
 """
 
 from __future__ import annotations
@@ -162,24 +164,39 @@ def _renumber(docs: pa.Table, parts: pa.Table) -> pa.Table:
     blobs = parts.column("numbers").to_pylist()
     numbers = np.concatenate([unpack(blobs[i], np.uint32) for i in order])
     words = numbers[unpack(docs.column("words")[0].as_py(), np.uint32)]
-    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([pack(words)], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
+    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([pack(words)], pa.binary()), pa.array([None], pa.binary())], names=["chunk", "docs", "held", "sizes", "words", "lower"])
 
 
-ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary"
+ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary, lower binary"
 
 
-def _bigrams(sizes: np.ndarray, words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct bigrams as history << 32 | word, ordered by history's bucket; where each bucket begins; each token's bigram)."""
-    history = np.empty(len(words), np.uint32)
-    history[1:] = words[:-1]
-    history[np.cumsum(sizes) - sizes] = BEGIN
-    both = history.astype(np.uint64) << np.uint64(32) | words
-    distinct, places = np.unique(both, return_inverse=True)
-    where = (distinct >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(where, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return distinct[order], np.searchsorted(where[order], np.arange(buckets + 1)), rank[places]
+def _mixed(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (ids + words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def _grams(sizes: np.ndarray, words: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(histories and words of the distinct n-grams, ordered by history's bucket; where each bucket begins; each token's n-gram).
+
+    A history of one word is its number, a longer one a 64-bit hash of its numbers.
+    """
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    histories = np.zeros(len(words), np.uint64)
+    for back in range(order - 1, 0, -1):
+        before = np.full(len(words), BEGIN, np.uint32)
+        before[back:] = words[:-back]
+        before[place < back] = BEGIN
+        histories = before.astype(np.uint64) if order == 2 else _mixed(histories, before)
+    ids = histories << np.uint64(32) | words if order == 2 else _mixed(histories, words)
+    _, at, places = np.unique(ids, return_index=True, return_inverse=True)
+    histories, kinds = histories[at], words[at]
+    where = histories % np.uint64(buckets)
+    sorted_ = np.lexsort((kinds, histories, where))
+    rank = np.empty(len(sorted_), np.int64)
+    rank[sorted_] = np.arange(len(sorted_))
+    return histories[sorted_], kinds[sorted_], np.searchsorted(where[sorted_], np.arange(buckets + 1)), rank[places]
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,85 +204,134 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_values)))
 
 
-def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct bigrams by bucket: histories with their numbers of words, the words, training counts."""
+def _lower(lower: bytes, sizes: np.ndarray, words: np.ndarray, kinds: np.ndarray, places: np.ndarray, order: int, unigrams: Unigrams, buckets: int) -> np.ndarray:
+    """The probability of each distinct n-gram's word after the history without its first word."""
+    if order == 2:
+        return unigrams.p[unigrams.level(kinds)]
+    out = np.empty(len(kinds))
+    out[places] = unpack(lower, "<f8")[_grams(sizes, words, order - 1, buckets)[3]]
+    return out
+
+
+def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int, unigrams: Unigrams | None) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct n-grams by bucket: histories with their numbers of words, and the words.
+
+    With ``unigrams``, only those of the training part, with their counts and
+    the lower order's probabilities.
+    """
     for batch in batches:
-        for chunk, _, held, sizes, words in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, _, held, sizes, words, lower in zip(*(c.to_pylist() for c in batch.columns)):
             sizes, words = unpack(sizes, np.int64), unpack(words, np.uint32)
-            distinct, cuts, places = _bigrams(sizes, words, buckets)
-            train = np.repeat(~unpack(held, bool), sizes)
-            counts = np.bincount(places[train], minlength=len(distinct)).astype(np.uint32)
+            histories, kinds, cuts, places = _grams(sizes, words, order, buckets)
+            if unigrams is not None:
+                counts = np.bincount(places[np.repeat(~unpack(held, bool), sizes)], minlength=len(kinds)).astype(np.uint32)
+                p = _lower(lower, sizes, words, kinds, places, order, unigrams, buckets)
             for b in range(buckets):
-                part = distinct[cuts[b] : cuts[b + 1]]
-                if len(part):
-                    history = (part >> np.uint64(32)).astype(np.uint32)
-                    first, n = _runs(history)
-                    row = [history[first], n.astype(np.uint32), part.astype(np.uint32), counts[cuts[b] : cuts[b + 1]]]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in row)], names=["bucket", "chunk", "histories", "runs", "words", "counts"])
-
-
-def _answer(table: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """The model's rows of one bucket (chunk null) and, for each chunk, the counts of what it asked for."""
-    read = lambda column, i: unpack(table.column(column)[i].as_py(), np.uint32)
-    asked = [(np.repeat(read("histories", i), read("runs", i)).astype(np.uint64) << np.uint64(32)) | read("words", i) for i in range(table.num_rows)]
-    keys = np.concatenate(asked)
-    counts = np.concatenate([read("counts", i) for i in range(table.num_rows)])
-    seen = counts > 0
-    model, places = np.unique(keys[seen], return_inverse=True)
-    sums = np.bincount(places, counts[seen], len(model)).astype(np.int64)
-    history = (model >> np.uint64(32)).astype(np.uint32)
-    first, n = _runs(history)
-    add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
-    by_history = history[first]
-    totals = add(sums)
-    p_seen = add(unigrams.p[unigrams.level(model & np.uint64(0xFFFFFFFF))])
-    small = [add((sums == r).astype(np.int64)) for r in range(1, CUTOFF + 1)]
-    kinds = np.bincount(np.minimum(sums, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].astype(np.int64)
-    bucket = table.column("bucket")[0].as_py()
-    blob = lambda x, t: pack(np.ascontiguousarray(x, t).ravel())
-    out = [(None, bucket, blob(by_history, "<u4"), blob(n, "<u4"), blob(model & np.uint64(0xFFFFFFFF), "<u4"), blob(sums, "<u8"), blob(kinds, "<i8"))]
-    for i, want in enumerate(asked):
-        c = np.zeros(len(want), np.uint32)
-        h = read("histories", i)
-        stats = np.zeros((CUTOFF + 1, len(h)), np.uint32)
-        p = np.zeros(len(h))
-        if len(model):
-            at = np.minimum(np.searchsorted(model, want), len(model) - 1)
-            c = np.where(model[at] == want, sums[at], 0).astype(np.uint32)
-            at = np.minimum(np.searchsorted(by_history, h), len(by_history) - 1)
-            hit = by_history[at] == h
-            stats = np.stack([np.where(hit, x[at], 0) for x in (totals, *small)]).astype(np.uint32)
-            p = np.where(hit, p_seen[at], 0.0)
-        out.append((table.column("chunk")[i].as_py(), bucket, b"", b"", blob(p, "<f8"), blob(c, "<u4"), blob(stats, "<u4")))
-    columns = list(zip(*out))
-    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.binary()] * 5])], names=["chunk", "bucket", "histories", "runs", "words", "counts", "stats"])
-
-
-ANSWERS = "chunk long, bucket int, histories binary, runs binary, words binary, counts binary, stats binary"
-
-
-def _score(docs: pa.Table, answers: pa.Table, unigrams: Unigrams, d: np.ndarray, buckets: int) -> pa.Table:
+                part = slice(cuts[b], cuts[b + 1])
+                if unigrams is not None:
+                    part = cuts[b] + np.flatnonzero(counts[part])
+                h = histories[part]
+                if len(h):
+                    first, n = _runs(h)
+                    row = [h[first], n.astype(np.uint32), kinds[part], *((counts[part], p[part]) if unigrams is not None else (None, None))]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([None if x is None else pack(x)], pa.binary()) for x in row)], names=["bucket", "chunk", "histories", "runs", "words", "counts", "lower"])
+
+
+ASKED = "bucket int, chunk long, histories binary, runs binary, words binary, counts binary, lower binary"
+
+
+def _read_grams(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(histories, runs, words) of a row."""
+    return tuple(unpack(table.column(c)[i].as_py(), t) for c, t in (("histories", np.uint64), ("runs", np.uint32), ("words", np.uint32)))
+
+
+def _count_grams(table: pa.Table) -> pa.Table:
+    """A bucket's n-grams with their counts, and what its histories' backoff weights are made from."""
+    parts = [_read_grams(table, i) for i in range(table.num_rows)]
+    histories = np.concatenate([np.repeat(h, n) for h, n, _ in parts])
+    words = np.concatenate([w for *_, w in parts])
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
+    lower = np.concatenate([unpack(x, "<f8") for x in table.column("lower").to_pylist()])
+    order = np.lexsort((words, histories))
+    histories, words = histories[order], words[order]
+    first = np.flatnonzero(np.concatenate([[True], (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])]))
+    sums = np.add.reduceat(counts[order].astype(np.int64), first)
+    histories, words, lower = histories[first], words[first], lower[order][first]
+    first, n = _runs(histories)
+    stats = [np.add.reduceat(x, first) for x in (sums, *((sums == r).astype(np.int64) for r in range(1, CUTOFF + 1)))]
+    kinds = np.bincount(np.minimum(sums, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
+    row = [histories[first], n.astype(np.uint32), words, sums, np.stack(stats), np.add.reduceat(lower, first)]
+    return pa.table(
+        [pa.array([table.column("bucket")[0].as_py()], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in row), pa.array([kinds.tolist()], pa.list_(pa.int64()))],
+        names=["bucket", "histories", "runs", "words", "counts", "stats", "p_seen", "kinds"],
+    )
+
+
+NGRAMS = "bucket int, histories binary, runs binary, words binary, counts binary, stats binary, p_seen binary, kinds array<long>"
+
+
+def _backoff(batches: Iterator[pa.RecordBatch], d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bucket's histories' denominators and backoff weights, in the order of its n-gram table."""
+    for batch in batches:
+        for bucket, stats, p_seen in zip(*(c.to_pylist() for c in batch.columns)):
+            stats = unpack(stats, np.int64).reshape(CUTOFF + 1, -1).astype(np.float64)
+            total, small = stats[0], stats[1:]
+            lost = (small * np.arange(1, CUTOFF + 1)[:, None] * (1 - d[1:, None])).sum(axis=0)
+            # a history whose counts are all above the cutoff lends one count to the words it was not seen with
+            base = np.where(lost > 0, total, total + 1)
+            weights = np.where(lost > 0, lost, 1.0) / base / np.maximum(1 - unpack(p_seen, "<f8"), 1e-12)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(base)], pa.binary()), pa.array([pack(weights)], pa.binary())], names=["bucket", "bases", "weights"])
+
+
+def _answer(asked: pa.Table, model: pa.Table, d: np.ndarray) -> pa.Table:
+    """For each chunk, the discounted probabilities of the n-grams it asked for (0 if unseen) and the weights of their histories."""
+    out = []
+    if model.num_rows:
+        known, n, known_words = _read_grams(model, 0)
+        counts = unpack(model.column("counts")[0].as_py(), np.int64)
+        bases, weights = (unpack(model.column(c)[0].as_py(), "<f8") for c in ("bases", "weights"))
+        p = np.where(counts <= CUTOFF, d[np.minimum(counts, CUTOFF)], 1.0) * counts / np.repeat(bases, n)
+        # a history's place in the table and a word make one number
+        keys = np.repeat(np.arange(len(known), dtype=np.uint64), n) << np.uint64(32) | known_words
+    for i in range(asked.num_rows):
+        h, runs, words = _read_grams(asked, i)
+        seen, weight = np.zeros(len(words)), np.ones(len(h))
+        if model.num_rows:
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            weight = np.where(hit, weights[at], 1.0)
+            want = np.repeat(at.astype(np.uint64), runs) << np.uint64(32) | words
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            seen = np.where((keys[at] == want) & np.repeat(hit, runs), p[at], 0.0)
+        out.append((asked.column("chunk")[i].as_py(), asked.column("bucket")[i].as_py(), pack(seen), pack(weight)))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.binary(), pa.binary()])] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["chunk", "bucket", "seen", "weights"])
+
+
+ANSWERS = "chunk long, bucket int, seen binary, weights binary"
+
+
+def _probabilities(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, words, probabilities of a chunk's distinct n-grams, each token's n-gram)."""
     sizes, words = (unpack(docs.column(c)[0].as_py(), t) for c, t in (("sizes", np.int64), ("words", np.uint32)))
-    distinct, cuts, places = _bigrams(sizes, words, buckets)
-    logs = np.zeros(len(distinct))
-    log_uni = np.log10(unigrams.p)
+    histories, kinds, cuts, places = _grams(sizes, words, order, buckets)
+    p = _lower(docs.column("lower")[0].as_py(), sizes, words, kinds, places, order, unigrams, buckets)
     for i, b in enumerate(answers.column("bucket").to_pylist()):
-        part = distinct[cuts[b] : cuts[b + 1]]
-        _, n = _runs(part >> np.uint64(32))
-        c = unpack(answers.column("counts")[i].as_py(), np.uint32).astype(np.int64)
-        p_seen = unpack(answers.column("words")[i].as_py(), "<f8")
-        stats = unpack(answers.column("stats")[i].as_py(), np.uint32).reshape(CUTOFF + 1, -1).astype(np.float64)
-        total, small = stats[0], stats[1:]
-        r = np.arange(1, CUTOFF + 1)[:, None]
-        lost = (small * r * (1 - d[1:, None])).sum(axis=0)
-        # a history whose counts are all above the cutoff lends one count to the words it was not seen with
-        base = np.where(lost > 0, total, total + 1)
-        left = np.where(lost > 0, lost, 1.0) / np.maximum(base, 1)
-        weight = np.where(total > 0, left / np.maximum(1 - p_seen, 1e-12), 1.0)
-        factor = np.where(c <= CUTOFF, d[np.minimum(c, CUTOFF)], 1.0)
-        seen = np.log10(np.maximum(factor * c, 1e-300)) - np.log10(np.maximum(np.repeat(base, n), 1))
-        back = np.repeat(np.log10(weight), n) + log_uni[unigrams.level(part & np.uint64(0xFFFFFFFF))]
-        logs[cuts[b] : cuts[b + 1]] = np.where(c > 0, seen, back)
+        part = slice(cuts[b], cuts[b + 1])
+        _, n = _runs(histories[part])
+        seen, weights = (unpack(answers.column(c)[i].as_py(), "<f8") for c in ("seen", "weights"))
+        p[part] = np.where(seen > 0, seen, np.repeat(weights, n) * p[part])
+    return sizes, words, p, places
+
+
+def _raise_order(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> pa.Table:
+    """A chunk with its probabilities of this order, for the next."""
+    p = _probabilities(docs, answers, order, unigrams, buckets)[2]
+    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes", "words")), pa.array([pack(p)], pa.binary())], names=["chunk", "docs", "held", "sizes", "words", "lower"])
+
+
+def _score(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> pa.Table:
+    sizes, words, p, places = _probabilities(docs, answers, order, unigrams, buckets)
+    logs = np.log10(np.maximum(p, 1e-300))
     first = np.cumsum(sizes) - sizes
     level = unigrams.level(words)
     counts = unigrams.counts[level]
@@ -283,13 +349,18 @@ def _score(docs: pa.Table, answers: pa.Table, unigrams: Unigrams, d: np.ndarray,
     return pa.table(columns, names=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+def _bound(function, *rest):
+    """A function of two tables; Spark tells functions apart by their number of arguments."""
+    return lambda a, b: function(a, b, *rest)
+
+
 def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 7):
     """True for the ids whose CRC-32, as text, leaves ``fold`` modulo ``folds``; a null id is in the training part."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None) -> DataFrame:
-    """Fit on the documents for which ``held`` is false, and score all.
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = 2) -> DataFrame:
+    """Fit n-grams of up to ``order`` words on the documents for which ``held`` is false, and score all.
 
     Returns id, ``held_out``, ``n_tokens`` (words and one end), ``n_known``
     (tokens seen in training), ``train_tokens``, ``base_score`` (add-one
@@ -297,6 +368,8 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null text is empty and has only its end. Rows repeated with one id are
     documents of their own. An empty table gives an empty result.
     """
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = docs.sparkSession
     small_batches(spark)
     buckets = partitions(spark)
@@ -320,15 +393,25 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     encoded = materialize(encoded, "lm-encoded")
     discard(chunks, counted)
 
-    parts = 4 * buckets  # more and so smaller groups of bigrams than of words
-    wanted = encoded.mapInArrow(lambda it: _ask(it, parts), "bucket int, chunk long, histories binary, runs binary, words binary, counts binary")
-    model = materialize(wanted.groupBy("bucket").applyInArrow(lambda t: _answer(t, unigrams), ANSWERS), "lm-model")
-    release(spark)
-    kinds: dict[int, int] = {}
-    for row in model.filter("chunk is null").select("stats").toLocalIterator():
-        for r, n in enumerate(unpack(row.stats, "<i8").tolist(), 1):
-            kinds[r] = kinds.get(r, 0) + n
-    d = discounts(kinds)
-    answers = model.filter("chunk is not null").select("chunk", "bucket", "words", "counts", "stats")
+    parts = 4 * buckets  # more and so smaller groups of n-grams than of words
     schema = "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _score(a, b, unigrams, d, parts), schema).withColumnRenamed("doc", id_col)
+    for n in range(2, order + 1):
+        trained = encoded.mapInArrow(lambda it, n=n: _ask(it, n, parts, unigrams), ASKED)
+        ngrams = materialize(trained.groupBy("bucket").applyInArrow(_count_grams, NGRAMS), f"lm-ngrams-{n}")
+        release(spark)
+        kinds: dict[int, int] = {}
+        for row in ngrams.select("kinds").toLocalIterator():
+            for r, k in enumerate(row.kinds, 1):
+                kinds[r] = kinds.get(r, 0) + k
+        d = discounts(kinds)
+        backoff = materialize(ngrams.select("bucket", "stats", "p_seen").mapInArrow(lambda it, d=d: _backoff(it, d), "bucket int, bases binary, weights binary"), f"lm-backoff-{n}")
+        model = ngrams.select("bucket", "histories", "runs", "words", "counts").join(backoff, "bucket")
+        asked = encoded.mapInArrow(lambda it, n=n: _ask(it, n, parts, None), ASKED)
+        answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bound(_answer, d), ANSWERS)
+        both = encoded.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        if n == order:
+            return both.applyInArrow(_bound(_score, n, unigrams, parts), schema).withColumnRenamed("doc", id_col)
+        raised = materialize(both.applyInArrow(_bound(_raise_order, n, unigrams, parts), ENCODED), f"lm-encoded-{n}")
+        del trained, asked, answers, both, model
+        discard(encoded)
+        encoded = raised

@@ -41,7 +41,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents"))
+    return katz.katz_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

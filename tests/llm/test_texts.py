@@ -155,6 +155,46 @@ def test_katz_matches_brute_force_and_sums_to_one(spark):
     assert katz.katz_scores(X.frame(spark, [])).count() == 0
 
 
+def test_katz_of_higher_orders_matches_brute_force(spark):
+    tokens = {i: X.words(t) + [None] for i, t in DOCS}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    for order in (3, 4):
+        got = {r.doc_id: r.score for r in katz.katz_scores(X.frame(spark, DOCS), order=order).collect()}
+        counts = [Counter() for _ in range(order + 1)]
+        grams = {i: [[tuple((["<s>"] * order + w)[k + order - n + 1 : k + order + 1]) for n in range(order + 1)] for k in range(len(w))] for i, w in tokens.items()}
+        for i, rows in grams.items():
+            for row in rows if not held[i] else ():
+                for n in range(1, order + 1):
+                    counts[n][row[n]] += 1
+        d = [katz.discounts(Counter(c.values())) for c in counts]
+        total = sum(counts[1].values())
+        factor = lambda n, c: d[n][c] if c <= katz.CUTOFF else 1.0
+        unknown = 1 - sum(factor(1, c) * c / total for c in counts[1].values())
+        after = defaultdict(list)
+        for n in range(2, order + 1):
+            for g, c in counts[n].items():
+                after[g[:-1]].append((g[-1], c))
+        weights = {}
+
+        def prob(g):
+            n, c = len(g), counts[len(g)][g]
+            if n == 1:
+                return factor(1, c) * c / total if c else unknown
+            if g[:-1] not in after:
+                return prob(g[1:])
+            if g[:-1] not in weights:
+                seen = after[g[:-1]]
+                size = sum(x for _, x in seen)
+                lost = sum((1 - factor(n, x)) * x for _, x in seen)
+                base, left = (size, lost / size) if lost > 0 else (size + 1, 1 / (size + 1))
+                weights[g[:-1]] = base, left / (1 - sum(prob((*g[1:-1], w)) for w, _ in seen))
+            base, weight = weights[g[:-1]]
+            return factor(n, c) * c / base if c else weight * prob(g[1:])
+
+        for i, rows in grams.items():
+            assert got[i] == pytest.approx(sum(math.log10(prob(row[order])) for row in rows))
+
+
 def test_word_hashes_follow_words():
     texts = [t or "" for _, t in DOCS]
     hashes, offsets = shingles.word_hashes(pa.array(texts))
