@@ -38,32 +38,52 @@ CHROME_WORDS = frozenset(
     "related recommended replies reply respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Chrome words whose elements read like an article, so that much text does not speak for them.
+TALK_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Parts of a name that say nothing of what is named, and first parts after which a name says what is near.
+PLAIN_PARTS = frozenset("area bar block bottom box button buttons container form inner items left list panel right slot top unit wrap wrapper".split())
+NEAR_PARTS = frozenset("has is no with without".split())
+#: From this share of links on a name that only hints at chrome is believed.
+LINKED = 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+def chrome_name(parts: list[str]) -> int:
+    """What a class, id or role says: 3 talk, 2 other chrome, 1 only a part of it does, 0 nothing of chrome."""
+    if not CHROME_WORDS & {*parts}:
+        return 0
+    told = [w for w in parts if w not in PLAIN_PARTS]
+    if told[-1] not in CHROME_WORDS or parts[0] in NEAR_PARTS:
+        return 1
+    return 3 if told[-1] in TALK_WORDS else 2
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "chrome", "liked", "score", "text_len", "link_len", "commas")
+    __slots__ = ("tag", "parent", "children", "chrome", "named", "liked", "score", "text_len", "link_len", "commas")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.score = 0.0
         self.text_len = self.link_len = self.commas = 0
-        words: set[str] = set()
+        self.named, content = 0, False
         hidden = False
         for m in ATTRIBUTE.finditer(attributes) if attributes else ():
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-            elif name in ("class", "id", "role"):
-                words.update(w.lower() for w in WORD.findall(value))
-        self.liked = tag in ("article", "main") or bool(words & CONTENT_WORDS)
-        self.chrome = tag in CHROME or hidden or tag not in ("html", "body", "article", "main") and bool(words & CHROME_WORDS) and not (tag == "header" and self.inside("article"))
-        if tag == "header" and not self.inside("article") and not self.inside("main"):
-            self.chrome = True
+            elif name in ("class", "id", "role") and not (name == "id" and tag in HEADINGS):
+                for token in value.split():
+                    parts = [w.lower() for w in PART.findall(token)]
+                    content = content or bool(CONTENT_WORDS & {*parts}) and not CHROME_WORDS & {*parts}
+                    self.named = max(self.named, chrome_name(parts))
+        self.liked = tag in ("article", "main") or content
+        self.chrome = tag in CHROME or hidden or tag == "header" and not self.inside("article") and not self.inside("main")
+        if self.liked or tag in ("html", "body") or tag == "header" and self.inside("article"):
+            self.named = 0
 
     def inside(self, tag: str) -> bool:
         at = self.parent
@@ -132,6 +152,46 @@ def _line(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def settle(root: Node) -> None:
+    """Decide by its text whether an element that is named like chrome is chrome.
+
+    A name that only hints is believed where links hold ``LINKED`` of the text.
+    A whole one is believed, unless the element holds a content container with
+    several paragraphs, or lies in one and has several paragraphs and a heading
+    of its own, with few links; talk is believed in any case.
+    """
+    sums: dict[int, list[int]] = {}  # text, text in links, paragraphs, headings, paragraphs in content containers
+    stack = [(root, False, False, False)]
+    while stack:
+        node, done, in_link, in_content = stack.pop()
+        if node.chrome:
+            continue
+        if not done:
+            in_link = in_link or node.tag == "a"
+            own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+            sums[id(node)] = [own, own if in_link else 0, 0, 0, 0]
+            stack.append((node, True, in_link, in_content))
+            stack.extend((c, False, in_link, in_content or node.liked) for c in node.children if not isinstance(c, str))
+            continue
+        n = sums.pop(id(node))
+        few_links = n[1] < LINKED * n[0] or not n[0]
+        if node.named == 1:
+            node.chrome = not few_links
+        elif node.named:
+            node.chrome = node.named == 3 or not few_links or not (n[4] >= 3 or in_content and n[2] >= 3 and n[3])
+        if node.chrome or node.parent is None:
+            continue
+        if node.tag in HEADINGS:
+            n[3] += 1
+        elif node.tag in PARAGRAPH and n[0] >= 25 and few_links:
+            n[2] += 1
+        if node.liked:
+            n[4] = n[2]
+        up = sums[id(node.parent)]
+        for i, x in enumerate(n):
+            up[i] += x
+
+
 def measure(root: Node) -> list[Node]:
     """Text and link lengths of all nodes outside boilerplate; returns the paragraphs."""
     paragraphs, stack = [], [(root, False, False)]
@@ -158,6 +218,7 @@ def measure(root: Node) -> list[Node]:
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container and its kept siblings, in page order; empty if the page has no text."""
+    settle(root)
     paragraphs = [p for p in measure(root) if p.text_len]
     for p in paragraphs:
         points = 1.0 + min(p.text_len / 100.0, 3.0) + p.commas * 0.5

@@ -31,6 +31,19 @@ def test_html_of_awkward_pages():
     assert html_text.extract(deep) == "deep, text"
 
 
+def test_html_names_do_not_outweigh_articles():
+    text = "".join(f"<p>Paragraph {i} is long enough, has commas, and is no link.</p>" for i in range(4))
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    for name in ("entry-content has-sidebar", "post comments-open", "with-sidebar", "widget-text"):
+        assert html_text.extract(f"<body><div class='{name}'>{text}</div></body>").count("Paragraph") == 4
+    assert html_text.extract(f"<body><div class=widget><div class=entry-content>{text}</div></div></body>").count("Paragraph") == 4
+    page = f"<article>{text}<h2 id='social-history'>Social</h2><p>a, b</p><h2 id='search-algorithms'>Search</h2><section id='related-work'><h2>Related</h2>{text}</section><section id=notices><h3>Old</h3>{text}</section></article>"
+    got = html_text.extract(page).split("\n")
+    assert [x for x in got if not x.startswith("Para")] == ["Social", "a, b", "Search", "Related", "Old"] and len(got) == 17
+    page = f"<article>{text}<div class='related-posts'>{menu}</div><div class='post-comments'><h3>Said</h3>{text}</div><div class='ad-slot'>Buy</div><div class='share-buttons'>x</div></article>"
+    assert html_text.extract(page).split("\n") == html_text.extract(f"<article>{text}</article>").split("\n")
+
+
 def test_html_keeps_whole_articles(spark):
     body = "".join(f"<p>Paragraph {i}, with some words, and more.</p>" for i in range(2000))
     pages = spark.createDataFrame([(1, "u", f"<nav><a>x</a></nav><article><h1>T</h1>{body}</article>", 3), (None, None, None, None)], "page_id long, url string, html string, text int")
