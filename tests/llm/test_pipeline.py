@@ -34,6 +34,22 @@ def test_stages_are_chained_and_keep_columns(spark, tmp_path):
     assert {p.doc_id for p in pieces} == set(kept)
 
 
+def test_stages_judge_rows_with_null_and_repeated_ids(spark):
+    text = lambda i: " ".join(f"w{(i * 37 + k * k) % 211}z" for k in range(70)) + "."
+    rows = [(i, text(i), "a") for i in range(30)] + [(None, text(50), "a"), (None, text(51), "a"), (None, text(3), "a"), (5, "short", "a"), (6, text(60), "a"), (7, text(7), "a"), (7, text(7), "b"), (None, text(50), "a"), (None, text(8) + " more", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    read = lambda frame: sorted(((r.doc_id, r.text, r.source) for r in frame.collect()), key=repr)
+    good = stages["quality rules"](spark, docs, "")
+    expected = [r for r in rows if r[1] != "short"]
+    assert read(good) == sorted(expected, key=repr)
+    exact = stages["exact dedup"](spark, good, "")
+    expected = [r for r in dict.fromkeys(expected) if r not in ((None, text(3), "a"), (7, text(7), "b"))]
+    assert exact.columns == docs.columns and read(exact) == sorted(expected, key=repr)
+    near = stages["n-gram Jaccard join"](spark, exact, "")
+    assert read(near) == sorted((r for r in expected if r[1] != text(8) + " more"), key=repr)
+
+
 def test_components_agree_with_stage_rule():
     found = X.components([(3, "a b c d e f"), (1, "a b c d e f"), (2, "z")])
     assert found == {3: (2, 1), 1: (2, 1), 2: (1, 2)}
