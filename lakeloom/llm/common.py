@@ -24,12 +24,15 @@ _local_root: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop), a temporary folder that is
-    removed when the process ends.
+    Where a local session names none (tests, a laptop), a temporary folder that
+    is removed when the process ends; on a cluster it must be named.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="lakeloom-"))
         atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)

@@ -1,10 +1,15 @@
 """WARC archives with a two-level capture index.
 
-Captures are written as WARC/1.1 records by Spark's own writer, so archives can
-lie in any store. Equal payloads are kept once; the others are revisits. The
-index sorts reversed-host URL keys into compressed blocks; a sparse directory
-holds each block's first key, so that a lookup searches the directory, opens
-one block, searches it, and reads one byte range.
+Captures are written as WARC/1.1 records, each a gzip member of its own, so
+that one byte range is one record. Equal payloads are kept once; the others are
+revisits. The index sorts reversed-host URL keys into compressed blocks, one
+file for each range of keys; a sparse directory holds each block's first line.
+A lookup searches the ranges' first lines, then the range's directory, reads
+one block, searches it, and reads one byte range of an archive.
+
+Tasks write and read files through :mod:`pyarrow.fs`, by the scheme of the path.
+A task names its files after its attempt, and only files that a finished task
+reports are part of the archives, so a repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,161 +35,266 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Lines of an index block before it is compressed.
 BLOCK_LINES = 2000
+#: Bytes after which a task begins another archive.
+FILE_BYTES = 256 << 20
+#: Neighbouring records are read at once up to so many bytes, and captures are dealt to tasks by stretches of archives.
+READ_BYTES, STRETCH = 8 << 20, 64 << 20
+#: zlib's window bits for gzip members.
+GZIP = 31
 
+LINE = "key string, capture string, file string, at long, size long"
+LINE_TYPES = [pa.string()] * 3 + [pa.int64()] * 2
 
-def dedup_verdicts(captures: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """(id, digest, bytes, response_id): of equal payloads of at least ``min_bytes``, the largest id is the response."""
-    payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = materialize(captures.select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes")), "payloads")
-    large = rows.filter(F.col("payload_bytes") >= min_bytes)
-    groups = materialize(large.groupBy("digest").agg(F.max("row_id").alias("response_id"), F.count(F.lit(1)).alias("copies")), "payload-groups")
-    linked = attach_groups(large, groups, "digest", "copies").select("row_id", "digest", "payload_bytes", "response_id")
-    small = rows.filter(F.col("payload_bytes") < min_bytes).select("row_id", "digest", "payload_bytes", F.col("row_id").alias("response_id"))
-    return linked.unionByName(small)
 
+def batch_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-def records(captures: DataFrame, id_col: str, url_col: str, payload_col: str, date: str) -> DataFrame:
-    """One column ``value``: each capture's WARC record without its closing blank lines.
 
-    ``captures`` has ``digest``, ``payload_bytes`` and ``response_id``. A null id
-    is written as an empty one; control characters of URLs are percent-encoded.
-    """
-    url = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    revisit = ~F.col("response_id").eqNullSafe(F.col(id_col))
-    http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
-    block = F.when(revisit, http).otherwise(F.concat(http, payload))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1" + CRLF + "WARC-Type: "),
-        F.when(revisit, "revisit").otherwise("response"),
-        F.lit(CRLF + "WARC-Record-ID: <urn:capture:"),
-        name,
-        F.lit(">" + CRLF + "WARC-Date: " + date + CRLF),
-        F.coalesce(F.concat(F.lit("WARC-Target-URI: "), url, F.lit(CRLF)), F.lit("")),
-        F.lit("WARC-Payload-Digest: sha1:"),
-        F.lower(F.hex("digest")),
-        F.lit(CRLF),
-        F.when(revisit, F.concat(F.lit("WARC-Profile: " + PROFILE + CRLF + "WARC-Refers-To: <urn:capture:"), F.col("response_id").cast("string"), F.lit(">" + CRLF))).otherwise(""),
-        F.lit("Content-Type: application/http;msgtype=response" + CRLF + "Content-Length: "),
-        F.octet_length(block).cast("string"),
-        F.lit(END),
-    )
-    return captures.select(F.concat(head, block).alias("value"))
+def line_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return batch_of(rows, LINE_TYPES, ["key", "capture", "file", "at", "size"])
 
 
-def write_archives(
-    captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", per_file: int = 2000
-) -> None:
-    """Write one record per capture below ``path``, at most ``per_file`` in an archive.
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path)
 
-    Null payloads are empty ones, null URLs leave the header out. Ids are taken
-    to be unique; rows that repeat an id are all written as responses if one
-    is. An empty table gives an archive without records.
+
+def revisits(captures: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
+    """(row_id, digest, response_id, response_url) of the captures whose payload a larger id has too.
+
+    Only payloads of at least ``min_bytes`` count. Rows with a null id are no
+    revisits and nothing revisits them.
     """
-    verdicts = materialize(dedup_verdicts(captures, id_col, payload_col, min_bytes), "verdicts")
-    rows = captures.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).alias(url_col), F.col(payload_col).alias(payload_col))
-    known = verdicts.filter("row_id is not null").dropDuplicates(["row_id", "digest"])
-    joined = rows.filter(F.col(id_col).isNotNull()).withColumn("digest", F.unhex(F.sha1(F.coalesce(payload_col, F.lit("")).cast("binary"))))
-    joined = joined.join(known, (joined[id_col] == known.row_id) & (joined.digest == known.digest)).drop(known.digest).drop("row_id")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    nameless = rows.filter(F.col(id_col).isNull()).select("*", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("response_id"))
-    out = records(joined.unionByName(nameless), id_col, url_col, payload_col, date)
-    out.write.option("lineSep", END).option("maxRecordsPerFile", per_file).mode("overwrite").text(path)
+    sized = captures.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url_"), payload.alias("payload_"))
+    sized = sized.filter(F.col("row_id").isNotNull() & (F.octet_length("payload_") >= min_bytes))
+    rows = materialize(sized.select("row_id", "url_", F.unhex(F.sha1("payload_")).alias("digest")), "payloads")
+    groups = rows.groupBy("digest").agg(F.max(F.struct("row_id", "url_")).alias("last"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    groups = materialize(groups.select("digest", "copies", F.col("last.row_id").alias("response_id"), F.col("last.url_").alias("response_url")), "payload-groups")
+    linked = attach_groups(rows.select("row_id", "digest"), groups, "digest", "copies").filter("row_id <> response_id")
+    return materialize(linked.select("row_id", "digest", "response_id", "response_url").distinct(), "revisits")
+
+
+def written(url: str) -> str:
+    """A URL as it stands in a header: line breaks are percent-encoded."""
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(capture: str, url: str | None, digest: str, payload_bytes: int, payload: bytes | None, date: str, target: str = "", target_url: str | None = None) -> bytes:
+    """One WARC record as a gzip member: a response, or with ``payload`` None a revisit of ``target``."""
+    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {payload_bytes}{END}".encode()
+    lines = ["WARC/1.1", "WARC-Type: " + ("response" if payload is not None else "revisit"), f"WARC-Record-ID: <urn:capture:{capture}>", f"WARC-Date: {date}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + written(url))
+    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    if payload is None:
+        lines += ["WARC-Profile: " + PROFILE, f"WARC-Refers-To: <urn:capture:{target}>"]
+        if target_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + written(target_url))
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(payload or b'')}"]
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, GZIP)
+    parts = [CRLF.join(lines).encode("utf-8", "surrogatepass"), END.encode(), http, payload or b"", END.encode()]
+    return b"".join([*map(squeeze.compress, parts), squeeze.flush()])
+
+
+def write_archives(
+    captures: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES
+) -> DataFrame:
+    """Write one record per capture into archives below ``path`` and return their index lines: key, capture, file, at, size.
+
+    Of equal payloads of at least ``min_bytes`` the largest id is the response,
+    the others revisit it. Null payloads are empty ones, null URLs leave the
+    header out, a null id is written as an empty one and is a response. Rows
+    that repeat an id and a payload are all of one kind. An archive ends after
+    ``file_bytes``, or the record that passes it. An empty table gives no
+    archive. Columns that are not named are not read.
+
+    Payloads are compressed in the scan, so only records travel, and they do
+    only where the revisits are too many for Spark to broadcast.
+    """
+    spark = captures.sparkSession
+    small_batches(spark)
+    again = revisits(captures, id_col, url_col, payload_col, min_bytes)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row_id, url, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                digest = hashlib.sha1(payload, usedforsecurity=False)
+                member = record("" if row_id is None else str(row_id), url, digest.hexdigest(), len(payload), payload, date)
+                rows.append((row_id, url, digest.digest(), len(payload), member))
+            yield batch_of(rows, [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.binary()], ["row_id", "url_", "digest", "payload_bytes", "member"])
+
+    rows = captures.select(F.col(id_col).cast("long").alias("row_id"), F.col(url_col).alias("url_"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload_"))
+    members = rows.mapInArrow(compress, "row_id long, url_ string, digest binary, payload_bytes long, member binary")
+    told = members.join(again, ["row_id", "digest"], "left").select(
+        "row_id", "url_", "digest", "payload_bytes", F.when(F.col("response_id").isNull(), F.col("member")).alias("member"), "response_id", "response_url"
+    )
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_store(path)
+        task, number, out, file, at, lines = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0, None, "", 0, []
+        try:
+            for batch in batches:
+                for row_id, url, digest, size, member, response_id, response_url in zip(*(c.to_pylist() for c in batch.columns)):
+                    capture = "" if row_id is None else str(row_id)
+                    if member is None:
+                        member = record(capture, url, digest.hex(), size, None, date, str(response_id), response_url)
+                    if out is None or at >= file_bytes:
+                        if out is not None:
+                            out.close()
+                        else:
+                            store.create_dir(top, recursive=True)
+                        file, at, number = f"{task}-{number:04d}.warc.gz", 0, number + 1
+                        out = store.open_output_stream(f"{top}/{file}", compression=None)
+                    out.write(member)
+                    lines.append((url_key(url), capture, file, at, len(member)))
+                    at += len(member)
+                if len(lines) >= 2000:
+                    yield line_batch(lines)
+                    lines = []
+        finally:
+            if out is not None:
+                out.close()
+        yield line_batch(lines)
+
+    return materialize(told.mapInArrow(write, LINE), "captures")
 
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int]:
     """Headers of the record at ``at`` and where its block begins."""
     end = data.index(b"\r\n\r\n", at)
-    lines = data[at:end].decode().split(CRLF)
+    lines = data[at:end].decode("utf-8", "surrogatepass").split(CRLF)
     return dict(line.split(": ", 1) for line in lines[1:] if ": " in line), end + 4
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict[str, str], dict[str, str], bytes, int]:
-    """(WARC headers, HTTP headers, payload, end) of the record at ``at``."""
-    head, begin = parse_header(data, at)
-    block = data[begin : begin + int(head["Content-Length"])]
-    http, body = parse_header(block, 0)
-    return head, http, block[body:], begin + len(block) + len(END)
+def parse_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """(WARC headers, HTTP headers, payload) of a gzip member."""
+    data = zlib.decompress(member, GZIP)
+    head, begin = parse_header(data, 0)
+    http, body = parse_header(data, begin)
+    return head, http, data[body : begin + int(head["Content-Length"])]
 
 
 def url_key(url: str | None) -> str:
     """Sort key: host labels reversed and joined by commas, then ``)`` and the rest, all lower-case."""
     if not url or "://" not in url:
-        return "-)" + (url or "").lower()
-    rest = url.split("://", 1)[1].lower()
+        return "-)" + written(url or "").lower()
+    rest = written(url).split("://", 1)[1].lower()
     cut = min([i for i in map(rest.find, "/?#") if i >= 0], default=len(rest))
     return ",".join(reversed(rest[:cut].split("."))) + ")" + rest[cut:]
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    small_batches(spark)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+def members_of(stream, piece: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """(at, size, data) of the gzip members of a stream, which is read piece by piece."""
+    at, left = 0, b""
+    while True:
+        left = left or stream.read(piece)
+        if not left:
+            return
+        inflate, parts, size = zlib.decompressobj(GZIP), [], 0
+        while not inflate.eof:
+            if not left:
+                raise ValueError("an archive ends inside a record")
+            parts.append(inflate.decompress(left))
+            size += len(left) - len(inflate.unused_data)
+            left = inflate.unused_data if inflate.eof else stream.read(piece)
+        yield at, size, b"".join(parts)
+        at += size
 
 
 def capture_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(key, capture, file, at, size) of every record, by reading the archives through."""
+    """Index lines of archives that are already there, by reading them through record by record."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_store(path)
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data, at, rows = content.as_py(), 0, []
-                while at < len(data):
-                    head, begin = parse_header(data, at)
-                    end = begin + int(head["Content-Length"]) + len(END)
-                    rows.append((url_key(head.get("WARC-Target-URI")), head["WARC-Record-ID"][13:-1], file, at, end - at))
-                    at = end
-                for i in range(0, len(rows), 5000):
-                    columns = list(zip(*rows[i : i + 5000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], names=["key", "capture", "file", "at", "size"])
+            for file in batch.column(0).to_pylist():
+                lines = []
+                with store.open_input_file(f"{top}/{file}") as stream:
+                    for at, size, data in members_of(stream):
+                        head, _ = parse_header(data, 0)
+                        lines.append((url_key(head.get("WARC-Target-URI")), head["WARC-Record-ID"][13:-1], file, at, size))
+                        if len(lines) == 5000:
+                            yield line_batch(lines)
+                            lines = []
+                yield line_batch(lines)
 
-    return _archives(spark, path).mapInArrow(run, "key string, capture string, file string, at long, size long")
+    return files.mapInArrow(run, LINE)
 
 
 class CaptureIndex:
-    """Two-level index below ``path``: ``blocks`` (compressed lines in key order) and ``directory`` (first key of each)."""
+    """Two-level index below ``path`` of the archives in ``archives``.
+
+    For each range of keys there is a file of compressed blocks of lines in
+    key order, and a file with the first line and the place of each block; the
+    table ``ranges`` has a row for each range that holds lines.
+    """
 
     def __init__(self, spark: SparkSession, archives: str, path: str):
         self.spark, self.archives, self.path = spark, archives, path
+        #: Blocks that lookups have read.
+        self.opened = 0
+        self._ranges: list[tuple] | None = None
 
-    def build(self, lines_per_block: int = BLOCK_LINES) -> CaptureIndex:
+    def build(self, lines: DataFrame | None = None, lines_per_block: int = BLOCK_LINES) -> CaptureIndex:
         """Sort all captures by key and write both levels. A key with many captures runs over several blocks."""
-        lines = materialize(capture_lines(self.spark, self.archives), "captures")
-        ordered = lines.repartitionByRange(partitions(self.spark), "key", "capture").sortWithinPartitions("key", "capture")
+        lines = capture_lines(self.spark, self.archives) if lines is None else lines
+        ordered = lines.repartitionByRange(partitions(self.spark), "key", "capture", "file", "at").sortWithinPartitions("key", "capture", "file", "at")
+        path = self.path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part, number, rows = TaskContext.get().partitionId(), 0, []
-
-            def block() -> pa.RecordBatch:
-                blob = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([part << 32 | number], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([blob], pa.binary())],
-                    names=["first_key", "last_key", "block", "n", "lines"],
-                )
+            store, top = open_store(path)
+            name, rows, directory, at, n = f"range-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", [], [], 0, 0
+            out = None
+
+            def block() -> None:
+                nonlocal at, n, out
+                if out is None:
+                    store.create_dir(top, recursive=True)
+                    out = store.open_output_stream(f"{top}/{name}.blocks", compression=None)
+                blob = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode("utf-8", "surrogatepass"))
+                out.write(blob)
+                directory.append((rows[0][0], rows[0][1], at, len(blob)))
+                at, n = at + len(blob), n + len(rows)
+                rows.clear()
 
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns)):
                     rows.append(row)
                     if len(rows) == lines_per_block:
-                        yield block()
-                        number, rows = number + 1, []
+                        block()
             if rows:
-                yield block()
-
-        ordered.mapInArrow(run, "first_key string, last_key string, block long, n long, lines binary").write.mode("overwrite").parquet(f"{self.path}/blocks")
-        self.spark.read.parquet(f"{self.path}/blocks").select("first_key", "last_key", "block", "n").write.mode("overwrite").parquet(f"{self.path}/directory")
+                block()
+            if out is not None:
+                out.close()
+                with store.open_output_stream(f"{top}/{name}.directory", compression=None) as stream:
+                    stream.write(zlib.compress(json.dumps(directory).encode()))
+                yield batch_of([(directory[0][0], directory[0][1], name, len(directory), n)], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()], ["first_key", "first_capture", "name", "blocks", "n"])
+
+        ordered.mapInArrow(run, "first_key string, first_capture string, name string, blocks long, n long").write.mode("overwrite").parquet(f"{self.path}/ranges")
+        self._ranges = None
         return self
 
+    def ranges(self) -> DataFrame:
+        return self.spark.read.schema("first_key string, first_capture string, name string, blocks long, n long").parquet(f"{self.path}/ranges")
+
     def lines(self) -> DataFrame:
         """(key, capture, file, at, size) of all captures, out of the blocks."""
+        path = self.path
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, top = open_store(path)
             for batch in batches:
-                for blob in batch.column(0).to_pylist():
-                    columns = list(zip(*map(json.loads, zlib.decompress(blob).decode().split("\n"))))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], names=["key", "capture", "file", "at", "size"])
+                for name in batch.column(0).to_pylist():
+                    directory = read_directory(store, f"{top}/{name}")
+                    with store.open_input_file(f"{top}/{name}.blocks") as stream:
+                        for *_, at, size in directory:
+                            yield line_batch(block_lines(stream.read_at(size, at)))
 
-        return self.spark.read.parquet(f"{self.path}/blocks").select("lines").mapInArrow(run, "key string, capture string, file string, at long, size long")
+        return self.ranges().select("name").mapInArrow(run, LINE)
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """(WARC headers, payload) of every capture of one URL; a revisit's payload is its response's."""
@@ -190,67 +302,105 @@ class CaptureIndex:
         for line in self._find(url_key(url)):
             head, payload = self._read(line)
             if head["WARC-Type"] == "revisit":
-                target = head["WARC-Refers-To"][13:-1]
-                sources = self.lines().filter(F.col("capture") == target).collect()
-                payload = self._read(tuple(sources[0]))[1] if sources else payload
+                for source in self._find(url_key(head.get("WARC-Refers-To-Target-URI")), head["WARC-Refers-To"][13:-1]):
+                    payload = self._read(source)[1]
             out.append((head, payload))
         return out
 
-    def _find(self, key: str) -> list[tuple]:
-        directory = self.spark.read.parquet(f"{self.path}/directory").filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).select("block")
-        found = []
-        for row in self.spark.read.parquet(f"{self.path}/blocks").join(directory, "block").select("lines").collect():
-            lines = [tuple(json.loads(x)) for x in zlib.decompress(row.lines).decode().split("\n")]
-            at = bisect.bisect_left(lines, key, key=lambda r: r[0])
-            while at < len(lines) and lines[at][0] == key:
-                found.append(lines[at])
-                at += 1
+    def _find(self, key: str, capture: str | None = None) -> list[tuple]:
+        """Lines of a key, or of one capture of it, by binary search of ranges, directory and blocks."""
+        if self._ranges is None:  # one row for each range, so as many as there were tasks
+            self._ranges = sorted(tuple(r) for r in self.ranges().select("first_key", "first_capture", "name").collect())
+        store, top = open_store(self.path)
+        start, found = (key, capture or ""), []
+        first = max(0, bisect.bisect_left(self._ranges, start, key=lambda r: r[:2]) - 1)
+        for *begin, name in self._ranges[first:]:
+            if tuple(begin) > (key, capture if capture is not None else chr(0x10FFFF)):
+                break
+            directory = read_directory(store, f"{top}/{name}")
+            with store.open_input_file(f"{top}/{name}.blocks") as stream:
+                for *block, at, size in directory[max(0, bisect.bisect_left(directory, list(start), key=lambda d: d[:2]) - 1) :]:
+                    if tuple(block) > (key, capture if capture is not None else chr(0x10FFFF)):
+                        return found
+                    lines = block_lines(stream.read_at(size, at))
+                    self.opened += 1
+                    for line in lines[bisect.bisect_left(lines, start, key=lambda r: r[:2]) :]:
+                        if line[0] != key or capture is not None and line[1] != capture:
+                            return found
+                        found.append(line)
         return found
 
     def _read(self, line: tuple) -> tuple[dict[str, str], bytes]:
+        """(WARC headers, payload) of one record, by its byte range."""
         _, _, file, at, size = line
-        row = _archives(self.spark, f"{self.archives}/{file}").select(F.substring("content", at + 1, size).alias("record")).head()
-        head, _, payload, _ = parse_record(bytes(row.record), 0)
+        store, top = open_store(self.archives)
+        with store.open_input_file(f"{top}/{file}") as stream:
+            head, _, payload = parse_record(stream.read_at(size, at))
         return head, payload
 
 
+def read_directory(store: fs.FileSystem, name: str) -> list[list]:
+    """(first key, first capture, at, size) of each block of a range."""
+    with store.open_input_file(f"{name}.directory") as stream:
+        return json.loads(zlib.decompress(stream.read()))
+
+
+def block_lines(blob: bytes) -> list[tuple]:
+    return [tuple(json.loads(x)) for x in zlib.decompress(blob).decode("utf-8", "surrogatepass").split("\n")]
+
+
 def read_captures(index: CaptureIndex) -> DataFrame:
-    """Read every capture by its range in the index.
+    """Read every capture by its byte range in the index.
 
     (capture, url, record_type, payload_bytes, payload_digest, refers_to):
     length and SHA-1 of a response are taken from the bytes read, those of a
-    revisit from its headers.
+    revisit from its headers. Only index lines are shuffled, by stretches of
+    archives; neighbouring ranges are read at once.
     """
+    archives = index.archives
+    names = ["capture", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    types = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
+
+    def row(member: bytes) -> tuple:
+        head, http, payload = parse_record(member)
+        name, url = head["WARC-Record-ID"][13:-1], head.get("WARC-Target-URI")
+        if head["WARC-Type"] == "response":
+            return name, url, "response", len(payload), hashlib.sha1(payload, usedforsecurity=False).hexdigest(), None
+        return name, url, head["WARC-Type"], int(http["Content-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Refers-To"][13:-1]
 
-    def run(lines: pa.Table, files: pa.Table) -> pa.Table:
-        data = files.column("content")[0].as_py() if files.num_rows else b""
-        rows = []
-        for at in sorted(lines.column("at").to_pylist()):
-            head, http, payload, _ = parse_record(data, at)
-            response = head["WARC-Type"] == "response"
-            rows.append(
-                (
-                    head["WARC-Record-ID"][13:-1],
-                    head.get("WARC-Target-URI"),
-                    head["WARC-Type"],
-                    len(payload) if response else int(http["Content-Length"]),
-                    hashlib.sha1(payload).hexdigest() if response else head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                    None if response else head["WARC-Refers-To"][13:-1],
-                )
-            )
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        types = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["capture", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"])
-
-    schema = "capture string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string"
-    return index.lines().select("file", "at").groupBy("file").cogroup(_archives(index.spark, index.archives).groupBy("file")).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = open_store(archives)
+        name, stream = None, None
+        for batch in batches:
+            files, ats, sizes = (c.to_pylist() for c in batch.columns)
+            i = 0
+            while i < len(files):
+                if files[i] != name:
+                    if stream is not None:
+                        stream.close()
+                    name, stream = files[i], store.open_input_file(f"{top}/{files[i]}")
+                j = i + 1
+                while j < len(files) and files[j] == name and ats[j] == ats[j - 1] + sizes[j - 1] and ats[j] + sizes[j] - ats[i] <= READ_BYTES:
+                    j += 1
+                data = stream.read_at(ats[j - 1] + sizes[j - 1] - ats[i], ats[i])
+                yield batch_of([row(data[at - ats[i] : at - ats[i] + size]) for at, size in zip(ats[i:j], sizes[i:j])], types, names)
+                i = j
+        if stream is not None:
+            stream.close()
+
+    dealt = index.lines().select("file", "at", "size").repartition(partitions(index.spark), "file", F.floor(F.col("at") / STRETCH)).sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(run, "capture string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string")
 
 
 def archive_round_trip(captures: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 1000) -> DataFrame:
-    """Write, index and read all captures: id, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``."""
+    """Write, index and read all captures: id, ``url``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``.
+
+    Nulls, repeated rows and empty tables are met as in :func:`write_archives`;
+    an empty table gives an empty result.
+    """
     spark = captures.sparkSession
     path = shared_path(spark, "archives")
-    write_archives(captures, path, id_col, url_col, payload_col, min_bytes)
-    index = CaptureIndex(spark, path, shared_path(spark, "capture-index")).build()
+    lines = write_archives(captures, path, id_col, url_col, payload_col, min_bytes)
+    index = CaptureIndex(spark, path, shared_path(spark, "capture-index")).build(lines)
     as_id = lambda c: F.when(F.col(c) != "", F.col(c)).cast("long")
     return read_captures(index).select(as_id("capture").alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))

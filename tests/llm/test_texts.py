@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -281,9 +282,28 @@ def test_warc_round_trip_and_lookup(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
     assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 3, 4, 7)] == [("revisit", 2), ("response", None), ("response", None), ("response", None), ("response", None)]
     path = shared_path(spark, "test-archives")
-    warc.write_archives(pages, path)
+    lines = warc.write_archives(pages, path, file_bytes=500)
+    assert sorted(map(tuple, warc.capture_lines(spark, path).collect())) == sorted(map(tuple, lines.collect()))
+    assert lines.select("file").distinct().count() > 1
     index = warc.CaptureIndex(spark, path, shared_path(spark, "test-index")).build(lines_per_block=2)
     assert [p.decode() for _, p in index.lookup("http://a.example.com/z")] == ["small", "small"]
     assert [(h["WARC-Type"], p.decode()) for h, p in index.lookup("http://b.example.com/x")] == [("revisit", big)]
     assert index.lookup("http://absent.example.com/") == []
+    index.opened = 0
+    index.lookup("http://b.example.com/x")
+    assert index.opened == 2
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_of_repeated_rows_null_ids_and_long_pages(spark):
+    long_page = "<p>" + "".join(random.Random(4).choices(string.ascii_letters, k=3_000_000))
+    rows = [(1, "http://a.org/1", "z" * 2000), (1, "http://a.org/1", "z" * 2000), (2, "http://a.org/2", "z" * 2000), (2, "http://a.org/2", "z" * 2000), (None, "http://a.org/3", "z" * 2000), (9, "http://a.org/9", long_page)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r)[:1] + tuple(r)[2:] for r in warc.archive_round_trip(pages).collect()), key=str)
+    digest = hashlib.sha1(b"z" * 2000).hexdigest()
+    expected = [(1, 2000, digest, "revisit", 2)] * 2 + [(2, 2000, digest, "response", None)] * 2 + [(None, 2000, digest, "response", None), (9, len(long_page), hashlib.sha1(long_page.encode()).hexdigest(), "response", None)]
+    assert got == sorted(expected, key=str)
+    path = shared_path(spark, "test-archives")
+    index = warc.CaptureIndex(spark, path, shared_path(spark, "test-index")).build(warc.write_archives(pages, path))
+    assert index.lookup("http://a.org/9")[0][1].decode() == long_page
+    assert [len(p) for _, p in index.lookup("http://a.org/1")] == [2000, 2000]
