@@ -43,6 +43,7 @@ READ_BYTES, STRETCH = 8 << 20, 64 << 20
 GZIP = 31
 
 LINE = "key string, capture string, file string, at long, size long"
+RANGE = "first_key string, first_capture string, last_key string, last_capture string, name string, n long"
 LINE_TYPES = [pa.string()] * 3 + [pa.int64()] * 2
 
 
@@ -229,7 +230,7 @@ class CaptureIndex:
     """Two-level index below ``path`` of the archives in ``archives``.
 
     For each range of keys there is a file of compressed blocks of lines in
-    key order, and a file with the first line and the place of each block; the
+    key order, and a file with the first and last line and the place of each block; the
     table ``ranges`` has a row for each range that holds lines.
     """
 
@@ -257,7 +258,7 @@ class CaptureIndex:
                     out = store.open_output_stream(f"{top}/{name}.blocks", compression=None)
                 blob = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in rows).encode("utf-8", "surrogatepass"))
                 out.write(blob)
-                directory.append((rows[0][0], rows[0][1], at, len(blob)))
+                directory.append((*rows[0][:2], *rows[-1][:2], at, len(blob)))
                 at, n = at + len(blob), n + len(rows)
                 rows.clear()
 
@@ -272,14 +273,14 @@ class CaptureIndex:
                 out.close()
                 with store.open_output_stream(f"{top}/{name}.directory", compression=None) as stream:
                     stream.write(zlib.compress(json.dumps(directory).encode()))
-                yield batch_of([(directory[0][0], directory[0][1], name, len(directory), n)], [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()], ["first_key", "first_capture", "name", "blocks", "n"])
+                yield batch_of([(*directory[0][:2], *directory[-1][2:4], name, n)], [pa.string()] * 5 + [pa.int64()], RANGE.replace(" string", "").replace(" long", "").split(", "))
 
-        ordered.mapInArrow(run, "first_key string, first_capture string, name string, blocks long, n long").write.mode("overwrite").parquet(f"{self.path}/ranges")
+        ordered.mapInArrow(run, RANGE).write.mode("overwrite").parquet(f"{self.path}/ranges")
         self._ranges = None
         return self
 
     def ranges(self) -> DataFrame:
-        return self.spark.read.schema("first_key string, first_capture string, name string, blocks long, n long").parquet(f"{self.path}/ranges")
+        return self.spark.read.schema(RANGE).parquet(f"{self.path}/ranges")
 
     def lines(self) -> DataFrame:
         """(key, capture, file, at, size) of all captures, out of the blocks."""
@@ -310,22 +311,21 @@ class CaptureIndex:
     def _find(self, key: str, capture: str | None = None) -> list[tuple]:
         """Lines of a key, or of one capture of it, by binary search of ranges, directory and blocks."""
         if self._ranges is None:  # one row for each range, so as many as there were tasks
-            self._ranges = sorted(tuple(r) for r in self.ranges().select("first_key", "first_capture", "name").collect())
+            self._ranges = sorted(tuple(r) for r in self.ranges().drop("n").collect())
         store, top = open_store(self.path)
-        start, found = (key, capture or ""), []
-        first = max(0, bisect.bisect_left(self._ranges, start, key=lambda r: r[:2]) - 1)
-        for *begin, name in self._ranges[first:]:
-            if tuple(begin) > (key, capture if capture is not None else chr(0x10FFFF)):
+        start, end, found = (key, capture or ""), (key, capture if capture is not None else chr(0x10FFFF)), []
+        for *first, _, _, name in self._ranges[bisect.bisect_left(self._ranges, start, key=lambda r: r[2:4]) :]:
+            if tuple(first) > end:
                 break
             directory = read_directory(store, f"{top}/{name}")
             with store.open_input_file(f"{top}/{name}.blocks") as stream:
-                for *block, at, size in directory[max(0, bisect.bisect_left(directory, list(start), key=lambda d: d[:2]) - 1) :]:
-                    if tuple(block) > (key, capture if capture is not None else chr(0x10FFFF)):
+                for *first, _, _, at, size in directory[bisect.bisect_left(directory, list(start), key=lambda d: d[2:4]) :]:
+                    if tuple(first) > end:
                         return found
                     lines = block_lines(stream.read_at(size, at))
                     self.opened += 1
                     for line in lines[bisect.bisect_left(lines, start, key=lambda r: r[:2]) :]:
-                        if line[0] != key or capture is not None and line[1] != capture:
+                        if line[:2] > end:
                             return found
                         found.append(line)
         return found
@@ -340,7 +340,7 @@ class CaptureIndex:
 
 
 def read_directory(store: fs.FileSystem, name: str) -> list[list]:
-    """(first key, first capture, at, size) of each block of a range."""
+    """(key and capture of the first and of the last line, at, size) of each block of a range."""
     with store.open_input_file(f"{name}.directory") as stream:
         return json.loads(zlib.decompress(stream.read()))
 
