@@ -44,15 +44,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/lakeloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, partitioned by the column ``by``, and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that it ran, not the
     stages before. The path is kept in ``_lakeloom_path`` of the result.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._lakeloom_path = path
     return out

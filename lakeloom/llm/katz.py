@@ -8,16 +8,24 @@ the lower order's mass of the words it has not been seen with.
 Texts are read once. Tasks cut them into chunks and number each chunk's words;
 distinct words go to buckets by hash, where they are counted, and come back as
 global numbers in order of falling count, so that a word's count can be told
-from its number by a short step function. Then, for each order, distinct n-grams
-of a chunk go to the bucket of their history with the chunk's probabilities of
-the order below; each bucket's n-grams and backoff weights are stored as rows
-of two tables, and each chunk gets back from these what it needs, in the order
-it asked.
+from its number by a short step function.
+
+A chunk's distinct n-grams of the highest order go to the bucket of the last
+word of their history. All lower orders that they back off to end their history
+in the same word, so a bucket counts, normalises and evaluates every order by
+itself, and a text's probabilities are found recursively in one place. A word
+that holds more than a bucket's share of all tokens is *hot*: its n-grams are
+split by the word before it, over as many buckets as its share asks for, and
+only its bigrams, which all of these need, are summed apart and sent to each.
+N-grams and backoff weights are stored as tables partitioned by order. Scoring
+goes in phases, each with its share of the buckets, so that what travels at a
+time is a part of what the corpus asks for; a phase leaves a number for each
+document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,8 @@ from lakeloom.llm.shingles import word_hashes
 CHUNK = 1_000_000
 #: Counts up to this one are discounted.
 CUTOFF = 5
+#: Parts in which texts are scored one after another.
+PHASES = 4
 #: The hash of the token that ends every document, and the number of the history before its first word.
 END, BEGIN = np.uint64(0x5BD1E995E6546B64), np.uint32(2**32 - 1)
 
@@ -164,191 +174,362 @@ def _renumber(docs: pa.Table, parts: pa.Table) -> pa.Table:
     blobs = parts.column("numbers").to_pylist()
     numbers = np.concatenate([unpack(blobs[i], np.uint32) for i in order])
     words = numbers[unpack(docs.column("words")[0].as_py(), np.uint32)]
-    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([pack(words)], pa.binary()), pa.array([None], pa.binary())], names=["chunk", "docs", "held", "sizes", "words", "lower"])
+    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([squeeze([words])], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
 
 
-ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary, lower binary"
+ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary"
 
 
-def _mixed(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+def squeeze(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of 32-bit numbers, compressed together, byte plane by byte plane."""
+    sizes = np.array([len(arrays), *map(len, arrays)], "<i8")
+    planes = [np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
+
+
+def unsqueeze(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    at, out = 8 * (n + 1), []
+    for size in np.frombuffer(data, "<i8", n, 8).tolist():
+        planes = np.frombuffer(data, np.uint8, 4 * size, at).reshape(4, size)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += 4 * size
+    return out
+
+
+def trie(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct rows, sorted by their columns in turn, as the steps between siblings and the numbers of children."""
+    n = len(columns[0])
+    parent = np.zeros(n, bool)
+    parent[:1] = True
+    out = []
+    for j, column in enumerate(columns):
+        node = parent.copy()
+        node[1:] |= column[1:] != column[:-1]
+        at = np.flatnonzero(node)
+        values, eldest = column[at], parent[at]
+        steps = values.copy()
+        steps[1:] -= np.where(eldest[1:], np.uint32(0), values[:-1])
+        if j:
+            out.append(np.diff(np.append(np.flatnonzero(eldest), len(at))).astype(np.uint32))
+        out.append(steps)
+        parent = node
+    return out
+
+
+def untrie(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    columns = [np.cumsum(arrays[0], dtype=np.uint32)]
+    for children, steps in zip(arrays[1::2], arrays[2::2]):
+        children = children.astype(np.int64)
+        sums = np.cumsum(steps, dtype=np.uint32)
+        eldest = np.cumsum(children) - children
+        columns = [np.repeat(c, children) for c in columns]
+        columns.append(sums - np.repeat(sums[eldest] - steps[eldest], children))
+    return columns
+
+
+def _mixed(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (ids + words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(32))
 
 
-def _grams(sizes: np.ndarray, words: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(histories and words of the distinct n-grams, ordered by history's bucket; where each bucket begins; each token's n-gram).
+def hot_splits(unigrams: Unigrams, parts: int) -> np.ndarray:
+    """Over how many buckets the n-grams after each of the hot words go; those are the lowest numbers, at most ``parts``."""
+    hot = unigrams.counts * parts > unigrams.total
+    n = int((np.append(unigrams.starts, unigrams.words)[1:][hot]).max(initial=0))
+    numbers = np.arange(n)
+    return -(-unigrams.counts[unigrams.level(numbers)] * parts // max(unigrams.total, 1)) if n else np.zeros(0, np.int64)
 
-    A history of one word is its number, a longer one a 64-bit hash of its numbers.
-    """
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    histories = np.zeros(len(words), np.uint64)
-    for back in range(order - 1, 0, -1):
-        before = np.full(len(words), BEGIN, np.uint32)
-        before[back:] = words[:-back]
-        before[place < back] = BEGIN
-        histories = before.astype(np.uint64) if order == 2 else _mixed(histories, before)
-    ids = histories << np.uint64(32) | words if order == 2 else _mixed(histories, words)
-    _, at, places = np.unique(ids, return_index=True, return_inverse=True)
-    histories, kinds = histories[at], words[at]
-    where = histories % np.uint64(buckets)
-    sorted_ = np.lexsort((kinds, histories, where))
-    rank = np.empty(len(sorted_), np.int64)
-    rank[sorted_] = np.arange(len(sorted_))
-    return histories[sorted_], kinds[sorted_], np.searchsorted(where[sorted_], np.arange(buckets + 1)), rank[places]
-
-
-def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
-    return first, np.diff(np.append(first, len(sorted_values)))
-
-
-def _lower(lower: bytes, sizes: np.ndarray, words: np.ndarray, kinds: np.ndarray, places: np.ndarray, order: int, unigrams: Unigrams, buckets: int) -> np.ndarray:
-    """The probability of each distinct n-gram's word after the history without its first word."""
-    if order == 2:
-        return unigrams.p[unigrams.level(kinds)]
-    out = np.empty(len(kinds))
-    out[places] = unpack(lower, "<f8")[_grams(sizes, words, order - 1, buckets)[3]]
-    return out
+
+def _sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their columns in turn, and where a new row begins in it."""
+    keys = [x.astype(np.uint64) << np.uint64(32) | y for x, y in zip(columns[::2], columns[1::2])] + ([columns[-1]] if len(columns) % 2 else [])
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    return order, new
 
 
-def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int, unigrams: Unigrams | None) -> Iterator[pa.RecordBatch]:
-    """Each chunk's distinct n-grams by bucket: histories with their numbers of words, and the words.
+class Asked:
+    """A chunk's distinct n-grams, of the tokens that ``wanted`` picks by their bucket.
 
-    With ``unigrams``, only those of the training part, with their counts and
-    the lower order's probabilities.
+    ``columns`` are the words of the history, last one first, and the word
+    after it; rows are sorted by bucket and columns, ``cuts`` tell where each
+    bucket begins, and ``places`` the row of each of the ``tokens``.
     """
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: int, parts: int, splits: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]):
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = []
+        for back in range(1, order):
+            before = np.full(len(words), BEGIN, np.uint32)
+            before[back:] = words[:-back]
+            before[place < back] = BEGIN
+            columns.append(before)
+        columns.append(words)
+        bucket = _mixed(columns[0])
+        if len(splits):
+            hot = np.flatnonzero(columns[0] < len(splits))
+            bucket[hot] += _mixed(columns[1][hot]) % splits[columns[0][hot]].astype(np.uint64)
+        bucket = (bucket % np.uint64(parts)).astype(np.uint32)
+        self.tokens = np.flatnonzero(wanted(bucket))
+        rows = [x[self.tokens] for x in (bucket, *columns)]
+        order_, new = _sorted_rows(rows)
+        self.places = np.empty(len(order_), np.int64)
+        self.places[order_] = np.cumsum(new) - 1
+        bucket, *self.columns = (x[order_[new]] for x in rows)
+        self.buckets, self.cuts = np.unique(bucket, return_index=True)
+        self.cuts = np.append(self.cuts, len(bucket))
+
+    def slices(self) -> Iterator[tuple[int, slice]]:
+        for b, x, y in zip(self.buckets.tolist(), self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            yield b, slice(x, y)
+
+
+def _chunk_words(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held, sizes, words) of an encoded chunk."""
+    _, _, held, sizes, words = row
+    return unpack(held, bool), unpack(sizes, np.int64), unsqueeze(words)[0]
+
+
+def _ask_counts(batches: Iterator[pa.RecordBatch], order: int, parts: int, splits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The training part's distinct n-grams of each chunk by bucket, with their counts."""
     for batch in batches:
-        for chunk, _, held, sizes, words, lower in zip(*(c.to_pylist() for c in batch.columns)):
-            sizes, words = unpack(sizes, np.int64), unpack(words, np.uint32)
-            histories, kinds, cuts, places = _grams(sizes, words, order, buckets)
-            if unigrams is not None:
-                counts = np.bincount(places[np.repeat(~unpack(held, bool), sizes)], minlength=len(kinds)).astype(np.uint32)
-                p = _lower(lower, sizes, words, kinds, places, order, unigrams, buckets)
-            for b in range(buckets):
-                part = slice(cuts[b], cuts[b + 1])
-                if unigrams is not None:
-                    part = cuts[b] + np.flatnonzero(counts[part])
-                h = histories[part]
-                if len(h):
-                    first, n = _runs(h)
-                    row = [h[first], n.astype(np.uint32), kinds[part], *((counts[part], p[part]) if unigrams is not None else (None, None))]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([None if x is None else pack(x)], pa.binary()) for x in row)], names=["bucket", "chunk", "histories", "runs", "words", "counts", "lower"])
-
-
-ASKED = "bucket int, chunk long, histories binary, runs binary, words binary, counts binary, lower binary"
-
-
-def _read_grams(table: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(histories, runs, words) of a row."""
-    return tuple(unpack(table.column(c)[i].as_py(), t) for c, t in (("histories", np.uint64), ("runs", np.uint32), ("words", np.uint32)))
-
-
-def _count_grams(table: pa.Table) -> pa.Table:
-    """A bucket's n-grams with their counts, and what its histories' backoff weights are made from."""
-    parts = [_read_grams(table, i) for i in range(table.num_rows)]
-    histories = np.concatenate([np.repeat(h, n) for h, n, _ in parts])
-    words = np.concatenate([w for *_, w in parts])
-    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
-    lower = np.concatenate([unpack(x, "<f8") for x in table.column("lower").to_pylist()])
-    order = np.lexsort((words, histories))
-    histories, words = histories[order], words[order]
-    first = np.flatnonzero(np.concatenate([[True], (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])]))
-    sums = np.add.reduceat(counts[order].astype(np.int64), first)
-    histories, words, lower = histories[first], words[first], lower[order][first]
-    first, n = _runs(histories)
-    stats = [np.add.reduceat(x, first) for x in (sums, *((sums == r).astype(np.int64) for r in range(1, CUTOFF + 1)))]
-    kinds = np.bincount(np.minimum(sums, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
-    row = [histories[first], n.astype(np.uint32), words, sums, np.stack(stats), np.add.reduceat(lower, first)]
-    return pa.table(
-        [pa.array([table.column("bucket")[0].as_py()], pa.int32()), *(pa.array([pack(x)], pa.binary()) for x in row), pa.array([kinds.tolist()], pa.list_(pa.int64()))],
-        names=["bucket", "histories", "runs", "words", "counts", "stats", "p_seen", "kinds"],
-    )
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            held, sizes, words = _chunk_words(row)
+            train = np.repeat(~held, sizes)
+            asked = Asked(sizes, words, order, parts, splits, lambda _: train)  # noqa: B023
+            counts = np.bincount(asked.places, minlength=len(asked.columns[0]))
+            for b, part in asked.slices():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeeze([*trie([c[part] for c in asked.columns]), counts[part]])], pa.binary())], names=["bucket", "grams"])
 
 
-NGRAMS = "bucket int, histories binary, runs binary, words binary, counts binary, stats binary, p_seen binary, kinds array<long>"
+def _ask_scores(batches: Iterator[pa.RecordBatch], order: int, parts: int, splits: np.ndarray, phase: int, phases: int) -> Iterator[pa.RecordBatch]:
+    """All distinct n-grams of each chunk in the buckets of a phase."""
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            _, sizes, words = _chunk_words(row)
+            asked = Asked(sizes, words, order, parts, splits, lambda b: b % phases == phase)
+            for b, part in asked.slices():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row[0]], pa.int64()), pa.array([squeeze(trie([c[part] for c in asked.columns]))], pa.binary())], names=["bucket", "chunk", "grams"])
 
 
-def _backoff(batches: Iterator[pa.RecordBatch], d: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A bucket's histories' denominators and backoff weights, in the order of its n-gram table."""
-    for batch in batches:
-        for bucket, stats, p_seen in zip(*(c.to_pylist() for c in batch.columns)):
-            stats = unpack(stats, np.int64).reshape(CUTOFF + 1, -1).astype(np.float64)
-            total, small = stats[0], stats[1:]
-            lost = (small * np.arange(1, CUTOFF + 1)[:, None] * (1 - d[1:, None])).sum(axis=0)
-            # a history whose counts are all above the cutoff lends one count to the words it was not seen with
-            base = np.where(lost > 0, total, total + 1)
-            weights = np.where(lost > 0, lost, 1.0) / base / np.maximum(1 - unpack(p_seen, "<f8"), 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([pack(base)], pa.binary()), pa.array([pack(weights)], pa.binary())], names=["bucket", "bases", "weights"])
+def stored(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """N-grams with 64-bit counts as they stand in a table."""
+    counts = counts.astype(np.uint64)
+    return squeeze([*trie(columns), counts & np.uint64(2**32 - 1), counts >> np.uint64(32)])
+
+
+def restored(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    *arrays, low, high = unsqueeze(data)
+    return untrie(arrays), (high.astype(np.int64) << 32) + low
+
+
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows with the sums of their counts."""
+    order, new = _sorted_rows(columns)
+    return [c[order[new]] for c in columns], np.add.reduceat(counts[order], np.flatnonzero(new)) if len(order) else counts
+
+
+def _kinds(counts: np.ndarray) -> list[int]:
+    """How many n-grams were seen once, twice, up to once more than ``CUTOFF``."""
+    return np.bincount(np.minimum(counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
 
 
-def _answer(asked: pa.Table, model: pa.Table, d: np.ndarray) -> pa.Table:
-    """For each chunk, the discounted probabilities of the n-grams it asked for (0 if unseen) and the weights of their histories."""
+NGRAMS = "n int, bucket int, word long, grams binary, kinds array<long>"
+
+
+def _count_grams(table: pa.Table, order: int, splits: np.ndarray) -> pa.Table:
+    """A bucket's n-grams of every order with their counts; the bigrams of a hot word, which are not all here, in rows of their own."""
+    bucket = table.column("bucket")[0].as_py()
+    parts = [unsqueeze(x) for x in table.column("grams").to_pylist()]
+    rows = [np.concatenate(c) for c in zip(*(untrie(p[:-1]) for p in parts))]
+    columns, counts = _summed(rows, np.concatenate([p[-1] for p in parts]).astype(np.int64))
+    out = []
+    for n in range(order, 1, -1):
+        if n < order:
+            columns, counts = _summed([*columns[: n - 1], columns[-1]], counts)
+        hot = columns[0] < len(splits) if n == 2 else np.zeros(len(counts), bool)
+        cold = np.flatnonzero(~hot)
+        if len(cold):
+            out.append((n, bucket, None, stored([c[cold] for c in columns], counts[cold]), _kinds(counts[cold])))
+        for word in np.unique(columns[0][hot]).tolist():
+            part = slice(*np.searchsorted(columns[0], [word, word + 1]))
+            out.append((n, bucket, word, stored([c[part] for c in columns], counts[part]), None))
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["n", "bucket", "word", "grams", "kinds"])
+
+
+def _sum_hot(table: pa.Table) -> pa.Table:
+    """All bigrams of a hot word."""
+    parts = [restored(x) for x in table.column("grams").to_pylist()]
+    columns, counts = _summed([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts]))
+    row = ([2], table.column("word").to_pylist()[:1], [stored(columns, counts)], [_kinds(counts)])
+    return pa.table([pa.array(c, t) for c, t in zip(row, [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())])], names=["n", "word", "grams", "kinds"])
+
+
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number lies among the known ones, and whether it does."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+class Bucket:
+    """What a bucket knows: for each order, histories with weights and n-grams with counts.
+
+    A history's key is the place of the shorter history, without its first
+    word, in the order below, and that first word; an n-gram's key is the place
+    of its history and its last word.
+    """
+
+    def __init__(self, rows: pa.Table, order: int, unigrams: Unigrams, d: list[np.ndarray]):
+        self.unigrams, self.d = unigrams, d
+        self.histories, self.keys, self.counts, self.bases, self.weights = {}, {}, {}, {}, {}
+        self.own: dict[int, np.ndarray] = {}  # places of the histories that only this bucket has
+        tables: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        weights: dict[int, list] = {n: [] for n in range(2, order + 1)}
+        lists = (rows.column(c).to_pylist() for c in ("n", "word", "grams", "weights"))
+        for n, word, grams, weight in sorted(zip(*lists), key=lambda r: (r[0], -1 if r[1] is None else r[1])):
+            if grams is not None:
+                tables[n].append((word is None, *restored(grams)))
+            if weight is not None:
+                weights[n].append(unpack(weight, "<f8"))
+        for n in range(2, order + 1):
+            if not tables[n]:
+                columns, counts, own = [np.zeros(0, np.uint32)] * n, np.zeros(0, np.int64), np.zeros(0, bool)
+            else:
+                columns = [np.concatenate(c) for c in zip(*(t[1] for t in tables[n]))]
+                counts, own = np.concatenate([t[2] for t in tables[n]]), np.concatenate([np.full(len(t[2]), t[0]) for t in tables[n]])
+            if len(tables[n]) > 1:  # hot words among the others
+                sorted_ = np.argsort(columns[0], kind="stable")
+                columns, counts, own = [c[sorted_] for c in columns], counts[sorted_], own[sorted_]
+            keys = columns[0].astype(np.uint64)
+            for k in range(2, n):
+                keys = _find(self.histories[k], keys)[0].astype(np.uint64) << np.uint64(32) | columns[k - 1]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(first, len(keys)))
+            self.histories[n], self.own[n] = keys[first], np.flatnonzero(own[first])
+            self.keys[n] = np.repeat(np.arange(len(first), dtype=np.uint64), sizes) << np.uint64(32) | columns[-1]
+            self.counts[n] = counts
+            sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: B023, E731
+            total = sums(counts)
+            lost = sums(np.where(counts <= CUTOFF, counts * (1 - d[n][np.minimum(counts, CUTOFF)]), 0.0))
+            # a history whose counts are all above the cutoff lends one count to the words it was not seen with
+            self.bases[n] = np.where(lost > 0, total, total + 1)
+            if weights[n]:
+                known = np.concatenate(weights[n])
+                hot_last = np.concatenate([self.own[n], np.flatnonzero(~own[first])])
+                self.weights[n] = np.empty(len(first))
+                self.weights[n][hot_last] = known
+            else:
+                lower = self.probabilities([c for i, c in enumerate(columns) if i != n - 2], n - 1)
+                self.weights[n] = np.where(lost > 0, lost, 1.0) / self.bases[n] / np.maximum(1 - sums(lower), 1e-12)
+
+    def probabilities(self, columns: list[np.ndarray], order: int) -> np.ndarray:
+        """Of each n-gram: the discounted one of the longest order that has seen it, times the weights of those above."""
+        words = columns[-1]
+        p = self.unigrams.p[self.unigrams.level(words)]
+        history, known = columns[0].astype(np.uint64), np.ones(len(words), bool)
+        for n in range(2, order + 1):
+            at, hit = _find(self.histories[n], history)
+            known = known & hit
+            if not len(self.histories[n]):
+                break
+            gram, seen = _find(self.keys[n], at.astype(np.uint64) << np.uint64(32) | words)
+            counts = self.counts[n][gram]
+            found = np.where(counts <= CUTOFF, self.d[n][np.minimum(counts, CUTOFF)], 1.0) * counts / self.bases[n][at]
+            p = np.where(seen & known, found, np.where(known, self.weights[n][at], 1.0) * p)
+            if n < order:
+                history = at.astype(np.uint64) << np.uint64(32) | columns[n - 1]
+        return p
+
+
+MODEL = ["n", "bucket", "word", "grams", "weights"]
+
+
+def _weigh(rows: pa.Table, order: int, unigrams, d: list[np.ndarray]) -> pa.Table:
+    """The backoff weights of a bucket's own histories, in the order of its n-grams."""
+    bucket = Bucket(rows, order, unigrams.value, d)
+    out = [(n, rows.column("bucket")[0].as_py(), pack(bucket.weights[n][own])) for n, own in bucket.own.items() if len(own)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.int32(), pa.int32(), pa.binary()])], names=["n", "bucket", "weights"])
+
+
+def _weigh_hot(batches: Iterator[pa.RecordBatch], parts: int, splits: np.ndarray, unigrams, d: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Each hot word's bigrams with its weight and the buckets that hold its n-grams."""
+    for batch in batches:
+        for i, (n, word, grams) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "word", "grams")))):
+            rows = pa.table({"n": [n], "word": [word], "grams": pa.array([grams], pa.binary()), "weights": pa.array([None], pa.binary())})
+            weight = Bucket(rows, 2, unigrams.value, d).weights[2]
+            first = int(_mixed(np.array([word], np.uint32))[0] % np.uint64(parts))
+            buckets = sorted({(first + j) % parts for j in range(int(splits[word]))})
+            values = ([n], [word], [grams], [pack(weight)], [buckets])
+            types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["n", "word", "grams", "weights", "buckets"])
+
+
+def _answer(asked: pa.Table, rows: pa.Table, order: int, unigrams, d: list[np.ndarray]) -> pa.Table:
+    """For each chunk, the log10 probabilities of the n-grams that it asked a bucket for."""
     out = []
-    if model.num_rows:
-        known, n, known_words = _read_grams(model, 0)
-        counts = unpack(model.column("counts")[0].as_py(), np.int64)
-        bases, weights = (unpack(model.column(c)[0].as_py(), "<f8") for c in ("bases", "weights"))
-        p = np.where(counts <= CUTOFF, d[np.minimum(counts, CUTOFF)], 1.0) * counts / np.repeat(bases, n)
-        # a history's place in the table and a word make one number
-        keys = np.repeat(np.arange(len(known), dtype=np.uint64), n) << np.uint64(32) | known_words
-    for i in range(asked.num_rows):
-        h, runs, words = _read_grams(asked, i)
-        seen, weight = np.zeros(len(words)), np.ones(len(h))
-        if model.num_rows:
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            weight = np.where(hit, weights[at], 1.0)
-            want = np.repeat(at.astype(np.uint64), runs) << np.uint64(32) | words
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            seen = np.where((keys[at] == want) & np.repeat(hit, runs), p[at], 0.0)
-        out.append((asked.column("chunk")[i].as_py(), asked.column("bucket")[i].as_py(), pack(seen), pack(weight)))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int32(), pa.binary(), pa.binary()])] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())], names=["chunk", "bucket", "seen", "weights"])
-
-
-ANSWERS = "chunk long, bucket int, seen binary, weights binary"
-
-
-def _probabilities(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, words, probabilities of a chunk's distinct n-grams, each token's n-gram)."""
-    sizes, words = (unpack(docs.column(c)[0].as_py(), t) for c, t in (("sizes", np.int64), ("words", np.uint32)))
-    histories, kinds, cuts, places = _grams(sizes, words, order, buckets)
-    p = _lower(docs.column("lower")[0].as_py(), sizes, words, kinds, places, order, unigrams, buckets)
-    for i, b in enumerate(answers.column("bucket").to_pylist()):
-        part = slice(cuts[b], cuts[b + 1])
-        _, n = _runs(histories[part])
-        seen, weights = (unpack(answers.column(c)[i].as_py(), "<f8") for c in ("seen", "weights"))
-        p[part] = np.where(seen > 0, seen, np.repeat(weights, n) * p[part])
-    return sizes, words, p, places
-
-
-def _raise_order(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> pa.Table:
-    """A chunk with its probabilities of this order, for the next."""
-    p = _probabilities(docs, answers, order, unigrams, buckets)[2]
-    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes", "words")), pa.array([pack(p)], pa.binary())], names=["chunk", "docs", "held", "sizes", "words", "lower"])
-
-
-def _score(docs: pa.Table, answers: pa.Table, order: int, unigrams: Unigrams, buckets: int) -> pa.Table:
-    sizes, words, p, places = _probabilities(docs, answers, order, unigrams, buckets)
-    logs = np.log10(np.maximum(p, 1e-300))
-    first = np.cumsum(sizes) - sizes
-    level = unigrams.level(words)
-    counts = unigrams.counts[level]
-    base_logs = np.log10((unigrams.counts + 1) / (unigrams.total + unigrams.kinds + 1))[level]
-    ids = unpack(docs.column("docs")[0].as_py(), np.int64)
+    if asked.num_rows:
+        bucket = Bucket(rows, order, unigrams.value, d)
+        for b, chunk, grams in zip(*(c.to_pylist() for c in asked.columns)):
+            p = bucket.probabilities(untrie(unsqueeze(grams)), order)
+            out.append((chunk, b, pack(np.log10(np.maximum(p, 1e-300)))))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, [pa.int64(), pa.int32(), pa.binary()])], names=["chunk", "bucket", "logs"])
+
+
+def _add_up(encoded: pa.Table, answers: pa.Table, order: int, parts: int, splits: np.ndarray, phase: int, phases: int) -> pa.Table:
+    """What the tokens of a phase add to each document of a chunk."""
+    row = tuple(c[0].as_py() for c in encoded.columns)
+    _, sizes, words = _chunk_words(row)
+    asked = Asked(sizes, words, order, parts, splits, lambda b: b % phases == phase)
+    logs = np.zeros(len(asked.columns[0]))
+    of = dict(zip(answers.column("bucket").to_pylist(), answers.column("logs").to_pylist()))
+    for b, part in asked.slices():
+        logs[part] = unpack(of[b], "<f8")
+    document = np.repeat(np.arange(len(sizes)), sizes)[asked.tokens]
+    return pa.table([pa.array([row[0]], pa.int64()), pa.array([pack(np.bincount(document, logs[asked.places], len(sizes)))], pa.binary())], names=["chunk", "sums"])
+
+
+def _document_rows(batches: Iterator[pa.RecordBatch], unigrams) -> Iterator[pa.RecordBatch]:
+    """What a chunk's documents are told without n-grams: ids, folds, numbers of tokens and known ones, base scores."""
+    model = unigrams.value
+    base = np.log10((model.counts + 1) / (model.total + model.kinds + 1))
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            _, sizes, words = _chunk_words(row)
+            level, first = model.level(words), np.cumsum(sizes) - sizes
+            known = np.add.reduceat((model.counts[level] > 0).astype(np.int64), first)
+            values = (row[0], row[1], row[2], row[3], pack(known), pack(np.add.reduceat(base[level], first)))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["chunk", "docs", "held", "sizes", "known", "base"])
+
+
+def _finish(docs: pa.Table, sums: pa.Table, total: int) -> pa.Table:
+    row = {c: docs.column(c)[0].as_py() for c in docs.column_names}
+    ids = unpack(row["docs"], np.int64)
     columns = [
         pa.array(ids, pa.int64(), mask=ids == -(2**63)),
-        pa.array(unpack(docs.column("held")[0].as_py(), bool)),
-        pa.array(sizes),
-        pa.array(np.add.reduceat((counts > 0).astype(np.int64), first)),
-        pa.array(np.full(len(sizes), unigrams.total, np.int64)),
-        pa.array(np.add.reduceat(base_logs, first)),
-        pa.array(np.add.reduceat(logs[places], first)),
+        pa.array(unpack(row["held"], bool)),
+        pa.array(unpack(row["sizes"], np.int64)),
+        pa.array(unpack(row["known"], np.int64)),
+        pa.array(np.full(len(ids), total, np.int64)),
+        pa.array(unpack(row["base"], "<f8")),
+        pa.array(np.sum([unpack(x, "<f8") for x in sums.column("sums").to_pylist()], axis=0)),
     ]
     return pa.table(columns, names=["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
+SCORED = "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def _bound(function, *rest):
     """A function of two tables; Spark tells functions apart by their number of arguments."""
     return lambda a, b: function(a, b, *rest)
@@ -359,22 +540,8 @@ def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 7):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = 2) -> DataFrame:
-    """Fit n-grams of up to ``order`` words on the documents for which ``held`` is false, and score all.
-
-    Returns id, ``held_out``, ``n_tokens`` (words and one end), ``n_known``
-    (tokens seen in training), ``train_tokens``, ``base_score`` (add-one
-    unigrams) and ``score``, both log10 probabilities of the whole text. A
-    null text is empty and has only its end. Rows repeated with one id are
-    documents of their own. An empty table gives an empty result.
-    """
-    if order < 2:
-        raise ValueError("the order is 2 at least")
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = partitions(spark)
-    held = held_out(id_col) if held is None else held
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def encode_words(rows: DataFrame, buckets: int) -> tuple[DataFrame, Unigrams]:
+    """Chunks of documents (doc, held, text) in global word numbers, and the unigrams of the training part."""
     chunks = materialize(rows.mapInArrow(lambda it: _chunks(it, buckets), CHUNKS), "lm-chunks")
     asked = chunks.filter("kind = 1").select("chunk", "bucket", "words", "counts")
     counted = materialize(asked.groupBy("bucket").applyInArrow(_count_words, "bucket int, words binary, levels array<long>, level_sizes array<long>"), "lm-words")
@@ -392,26 +559,83 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     encoded = chunks.filter("kind = 0").select("chunk", "docs", "held", "sizes", "words").groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(_renumber, ENCODED)
     encoded = materialize(encoded, "lm-encoded")
     discard(chunks, counted)
+    return encoded, unigrams
+
 
-    parts = 4 * buckets  # more and so smaller groups of n-grams than of words
-    schema = "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    for n in range(2, order + 1):
-        trained = encoded.mapInArrow(lambda it, n=n: _ask(it, n, parts, unigrams), ASKED)
-        ngrams = materialize(trained.groupBy("bucket").applyInArrow(_count_grams, NGRAMS), f"lm-ngrams-{n}")
+class KatzModel:
+    """Tables of n-grams, of hot words' bigrams, and of backoff weights, with the discounts of each order."""
+
+    def __init__(self, encoded: DataFrame, unigrams: Unigrams, order: int, parts: int):
+        """Fit on the training part of encoded chunks."""
+        spark = encoded.sparkSession
+        self.order, self.parts, self.splits = order, parts, hot_splits(unigrams, parts)
+        self.unigrams = spark.sparkContext.broadcast(unigrams)
+        parts, splits, shared = self.parts, self.splits, self.unigrams
+        asked = encoded.mapInArrow(lambda it: _ask_counts(it, order, parts, splits), "bucket int, grams binary")
+        self.ngrams = materialize(asked.groupBy("bucket").applyInArrow(lambda t: _count_grams(t, order, splits), NGRAMS), "lm-ngrams", "n")
+        del asked
+        release(spark)
+        partial = self.ngrams.filter("word is not null").select("word", "grams")
+        hot = materialize(partial.groupBy("word").applyInArrow(_sum_hot, "n int, word long, grams binary, kinds array<long>"), "lm-hot-sums")
+        kinds = self.ngrams.filter("word is null").select("n", "kinds").union(hot.select("n", "kinds"))
+        sums = kinds.select("n", F.posexplode("kinds").alias("r", "k")).groupBy("n", "r").agg(F.sum("k").alias("k")).collect()
+        self.d = d = [discounts({r.r + 1: r.k for r in sums if r.n == n}) for n in range(order + 1)]
+        self.hot = materialize(hot.mapInArrow(lambda it: _weigh_hot(it, parts, splits, shared, d), "n int, word long, grams binary, weights binary, buckets array<int>"), "lm-hot")
+        discard(hot)
+        self.backoff = None
+        rows = self.rows()
+        self.backoff = materialize(rows.groupBy("bucket").applyInArrow(lambda t: _weigh(t, order, shared, d), "n int, bucket int, weights binary"), "lm-backoff", "n")
+        del rows, partial, kinds
+        release(spark)
+
+    def rows(self, of=None) -> DataFrame:
+        """The model's rows by bucket, those of the buckets that ``of`` picks."""
+        none = F.lit(None).cast("binary")
+        out = self.ngrams.filter("word is null").select("n", "bucket", "word", "grams", none.alias("weights"))
+        # without weights while those of the others are being made, as a bucket makes all it lacks
+        hot_weights = none if self.backoff is None else F.col("weights")
+        out = out.unionByName(self.hot.select("n", F.explode("buckets").alias("bucket"), "word", "grams", hot_weights.alias("weights")))
+        if self.backoff is not None:
+            out = out.unionByName(self.backoff.select("n", "bucket", F.lit(None).cast("long").alias("word"), none.alias("grams"), "weights"))
+        return out if of is None else out.filter(of)
+
+    def score(self, encoded: DataFrame, phase: int, phases: int) -> DataFrame:
+        """(chunk, sums): what the tokens in a phase's buckets add to the documents' log10 probabilities."""
+        order, parts, splits, shared, d = self.order, self.parts, self.splits, self.unigrams, self.d
+        asked = encoded.mapInArrow(lambda it: _ask_scores(it, order, parts, splits, phase, phases), "bucket int, chunk long, grams binary")
+        rows = self.rows(F.col("bucket") % phases == phase)
+        answers = asked.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_bound(_answer, order, shared, d), "chunk long, bucket int, logs binary")
+        return encoded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_bound(_add_up, order, parts, splits, phase, phases), "chunk long, sums binary")
+
+
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=None, order: int = 2, phases: int = PHASES) -> DataFrame:
+    """Fit n-grams of up to ``order`` words on the documents for which ``held`` is false, and score all.
+
+    Returns id, ``held_out``, ``n_tokens`` (words and one end), ``n_known``
+    (tokens seen in training), ``train_tokens``, ``base_score`` (add-one
+    unigrams) and ``score``, both log10 probabilities of the whole text. A
+    null text is empty and has only its end. Rows repeated with one id are
+    documents of their own; a null id stays null. An empty table gives an
+    empty result; other columns are not read, whatever their names.
+
+    The number of phases changes nothing but how much travels at a time. One
+    history's words meet in one task, each chunk's summed up before.
+    """
+    if order < 2 or phases < 1:
+        raise ValueError("the order is 2 at least, and there is a phase at least")
+    spark = docs.sparkSession
+    small_batches(spark)
+    buckets = partitions(spark)
+    held = held_out(id_col) if held is None else held
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    encoded, unigrams = encode_words(rows, buckets)
+    model = KatzModel(encoded, unigrams, order, 4 * buckets)
+    shared, total = model.unigrams, unigrams.total
+    known = materialize(encoded.mapInArrow(lambda it: _document_rows(it, shared), "chunk long, docs binary, held binary, sizes binary, known binary, base binary"), "lm-documents")
+    sums = None
+    for phase in range(phases):
+        part = materialize(model.score(encoded, phase, phases), f"lm-scores-{phase}")
+        sums = part if sums is None else sums.unionByName(part)
         release(spark)
-        kinds: dict[int, int] = {}
-        for row in ngrams.select("kinds").toLocalIterator():
-            for r, k in enumerate(row.kinds, 1):
-                kinds[r] = kinds.get(r, 0) + k
-        d = discounts(kinds)
-        backoff = materialize(ngrams.select("bucket", "stats", "p_seen").mapInArrow(lambda it, d=d: _backoff(it, d), "bucket int, bases binary, weights binary"), f"lm-backoff-{n}")
-        model = ngrams.select("bucket", "histories", "runs", "words", "counts").join(backoff, "bucket")
-        asked = encoded.mapInArrow(lambda it, n=n: _ask(it, n, parts, None), ASKED)
-        answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_bound(_answer, d), ANSWERS)
-        both = encoded.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-        if n == order:
-            return both.applyInArrow(_bound(_score, n, unigrams, parts), schema).withColumnRenamed("doc", id_col)
-        raised = materialize(both.applyInArrow(_bound(_raise_order, n, unigrams, parts), ENCODED), f"lm-encoded-{n}")
-        del trained, asked, answers, both, model
-        discard(encoded)
-        encoded = raised
+    discard(encoded)
+    return known.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_bound(_finish, total), SCORED).withColumnRenamed("doc", id_col)

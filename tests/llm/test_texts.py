@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import fixtures as X  # noqa: E402
@@ -209,6 +210,37 @@ def test_katz_of_higher_orders_matches_brute_force(spark):
             assert got[i] == pytest.approx(sum(math.log10(prob(row[order])) for row in rows))
 
 
+def test_katz_splits_hot_words_and_phases_change_nothing(spark):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w for _ in range(60) for w in ("the", rng.choice(names[: 5 + i % 50])))) for i in range(80)]
+    docs = X.frame(spark, [*rows, (None, "the w1"), (3, rows[3][1])])
+    got = sorted(map(tuple, katz.katz_scores(docs, order=3).collect()), key=str)
+    encoded, unigrams = katz.encode_words(docs.select(F.col("doc_id").alias("doc"), F.lit(False).alias("held"), "text"), 4)
+    splits = katz.hot_splits(unigrams, 16)
+    assert len(splits) and splits.max() > 4  # "the" is half of all words
+    one = sorted(map(tuple, katz.katz_scores(docs, order=3, phases=1).collect()), key=str)
+    plain = katz.hot_splits
+    katz.hot_splits = lambda unigrams, parts: np.zeros(0, np.int64)
+    try:
+        unsplit = sorted(map(tuple, katz.katz_scores(docs, order=3).collect()), key=str)
+    finally:
+        katz.hot_splits = plain
+    for a, b, c in zip(got, one, unsplit):
+        assert a[:6] == b[:6] == c[:6] and a[6] == pytest.approx(b[6]) and a[6] == pytest.approx(c[6])
+
+
+def test_katz_counts_and_grams_keep_their_values():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 2**32, 500, np.uint32) for _ in range(3)]
+    columns[0][:400], columns[1][:200] = 2**32 - 1, 7
+    columns, counts = katz._summed(columns, rng.integers(1, 2**40, 500))
+    back, sums = katz.restored(katz.stored(columns, counts))
+    assert all((a == b).all() for a, b in zip(columns, back)) and (sums == counts).all() and counts.max() > 2**32
+    assert katz._summed([np.zeros(2, np.uint32)] * 3, np.array([2**33, 2**33]))[1].tolist() == [2**34]
+    assert katz.Unigrams([(2**35, 1), (1, 2)]).total == 2**35 + 2
+
+
 def test_word_hashes_follow_words():
     texts = [t or "" for _, t in DOCS]
     hashes, offsets = shingles.word_hashes(pa.array(texts))
