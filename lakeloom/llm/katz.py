@@ -169,12 +169,15 @@ def _number_words(asked: pa.Table, known: pa.Table, starts: dict[int, int]) -> p
 
 
 def _renumber(docs: pa.Table, parts: pa.Table) -> pa.Table:
-    """A chunk's documents in global word numbers."""
+    """A chunk's documents: the global numbers of its words, rising, and each token as a place in that list."""
     order = np.argsort(parts.column("bucket").to_numpy())
     blobs = parts.column("numbers").to_pylist()
     numbers = np.concatenate([unpack(blobs[i], np.uint32) for i in order])
-    words = numbers[unpack(docs.column("words")[0].as_py(), np.uint32)]
-    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([squeeze([words])], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
+    order = np.argsort(numbers)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    words = squeeze([numbers[order], rank[unpack(docs.column("words")[0].as_py(), np.uint32)]])
+    return pa.table([*(docs.column(c) for c in ("chunk", "docs", "held", "sizes")), pa.array([words], pa.binary())], names=["chunk", "docs", "held", "sizes", "words"])
 
 
 ENCODED = "chunk long, docs binary, held binary, sizes binary, words binary"
@@ -244,47 +247,100 @@ def hot_splits(unigrams: Unigrams, parts: int) -> np.ndarray:
     return -(-unigrams.counts[unigrams.level(numbers)] * parts // max(unigrams.total, 1)) if n else np.zeros(0, np.int64)
 
 
-def _sorted_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by their columns in turn, and where a new row begins in it."""
-    keys = [x.astype(np.uint64) << np.uint64(32) | y for x, y in zip(columns[::2], columns[1::2])] + ([columns[-1]] if len(columns) % 2 else [])
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        key = key[order]
-        new[1:] |= key[1:] != key[:-1]
-    return order, new
+class Keys:
+    """Rows of columns as numbers that sort alike, packed into as few 64-bit keys as hold them: one key sorts much faster than two."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.keys: list[np.ndarray] = []
+        self.fields: list[tuple[int, int]] = []  # bits of each column, and what counts as BEGIN in it
+        room = 0
+        for column in columns:
+            first = column == BEGIN  # counts as one more than the largest word here
+            most = int(column[~first].max(initial=0)) + 1
+            bits = most.bit_length()
+            if bits < 32:
+                column = np.where(first, np.uint32(most), column)
+            if room >= bits:
+                self.keys[-1] = self.keys[-1] << np.uint64(bits) | column
+            else:
+                self.keys.append(column.astype(np.uint64))
+                room = 64
+            room -= bits
+            self.fields.append((bits, most))
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the rows, and where a new one begins in it."""
+        order = np.argsort(self.keys[0], kind="stable") if len(self.keys) == 1 else np.lexsort(self.keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for key in self.keys:
+            key = key[order]
+            new[1:] |= key[1:] != key[:-1]
+        return order, new
+
+    def distinct(self) -> tuple[list[np.ndarray], np.ndarray] | None:
+        """Distinct rows and how often each is there, if one key holds a row."""
+        if len(self.keys) > 1:
+            return None
+        key = np.sort(self.keys[0])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        left, columns = key[first], []
+        for bits, most in reversed(self.fields):
+            column = (left & np.uint64((1 << bits) - 1)).astype(np.uint32)
+            columns.append(np.where(column == most, BEGIN, column) if bits < 32 else column)
+            left = left >> np.uint64(bits)
+        return columns[::-1], np.diff(np.append(first, len(key)))
 
 
 class Asked:
-    """A chunk's distinct n-grams, of the tokens that ``wanted`` picks by their bucket.
+    """A chunk's distinct n-grams, of the ``train`` tokens or of those in the buckets that ``wanted`` picks.
 
     ``columns`` are the words of the history, last one first, and the word
     after it; rows are sorted by bucket and columns, ``cuts`` tell where each
-    bucket begins, and ``places`` the row of each of the ``tokens``.
+    bucket begins, ``counts`` how often a row is there, and, if they are to be
+    ``placed``, ``places`` the row of each of the ``tokens``.
     """
 
-    def __init__(self, sizes: np.ndarray, words: np.ndarray, order: int, parts: int, splits: np.ndarray, wanted: Callable[[np.ndarray], np.ndarray]):
-        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    def __init__(self, sizes: np.ndarray, known: np.ndarray, local: np.ndarray, order: int, parts: int, splits: np.ndarray, train=None, wanted: Callable[[np.ndarray], np.ndarray] | None = None, placed: bool = False):
+        begin = len(known)
+        known = np.append(known, BEGIN)
+        mixed = _mixed(known)
+        first, hot = (mixed % np.uint64(parts)).astype(np.int64), np.searchsorted(known, len(splits))
+
+        def buckets(columns: list[np.ndarray]) -> np.ndarray:
+            out = first[columns[0]]
+            split = np.flatnonzero(columns[0] < hot)
+            if len(split):
+                shift = mixed[columns[1][split]] % splits[known[columns[0][split]]].astype(np.uint64)
+                out[split] = (out[split] + shift.astype(np.int64)) % parts
+            return out
+
+        place = np.arange(len(local)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         columns = []
         for back in range(1, order):
-            before = np.full(len(words), BEGIN, np.uint32)
-            before[back:] = words[:-back]
-            before[place < back] = BEGIN
+            before = np.full(len(local), begin, np.uint32)
+            before[back:] = local[:-back]
+            before[place < back] = begin
             columns.append(before)
-        columns.append(words)
-        bucket = _mixed(columns[0])
-        if len(splits):
-            hot = np.flatnonzero(columns[0] < len(splits))
-            bucket[hot] += _mixed(columns[1][hot]) % splits[columns[0][hot]].astype(np.uint64)
-        bucket = (bucket % np.uint64(parts)).astype(np.uint32)
-        self.tokens = np.flatnonzero(wanted(bucket))
-        rows = [x[self.tokens] for x in (bucket, *columns)]
-        order_, new = _sorted_rows(rows)
-        self.places = np.empty(len(order_), np.int64)
-        self.places[order_] = np.cumsum(new) - 1
-        bucket, *self.columns = (x[order_[new]] for x in rows)
-        self.buckets, self.cuts = np.unique(bucket, return_index=True)
+        columns.append(local)
+        self.tokens = np.flatnonzero(train if wanted is None else wanted(buckets(columns)))
+        rows = [x[self.tokens] for x in columns]
+        keys = Keys(rows)
+        places = None
+        if placed or (found := keys.distinct()) is None:
+            sorted_, new = keys.sorted()
+            places = np.empty(len(sorted_), np.int64)
+            places[sorted_] = np.cumsum(new) - 1
+            found = [x[sorted_[new]] for x in rows], np.diff(np.append(np.flatnonzero(new), len(new)))
+        columns, counts = found
+        bucket = buckets(columns)
+        sorted_ = np.argsort(bucket.astype(np.uint16) if parts <= 2**16 else bucket, kind="stable")
+        self.columns, self.counts = [known[x[sorted_]] for x in columns], counts[sorted_]
+        if places is not None:
+            rank = np.empty(len(sorted_), np.int64)
+            rank[sorted_] = np.arange(len(sorted_))
+            self.places = rank[places]
+        self.buckets, self.cuts = np.unique(bucket[sorted_], return_index=True)
         self.cuts = np.append(self.cuts, len(bucket))
 
     def slices(self) -> Iterator[tuple[int, slice]]:
@@ -292,30 +348,27 @@ class Asked:
             yield b, slice(x, y)
 
 
-def _chunk_words(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(held, sizes, words) of an encoded chunk."""
+def _chunk_words(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(held, sizes, known words, each token's place in them) of an encoded chunk."""
     _, _, held, sizes, words = row
-    return unpack(held, bool), unpack(sizes, np.int64), unsqueeze(words)[0]
+    return unpack(held, bool), unpack(sizes, np.int64), *unsqueeze(words)
 
 
 def _ask_counts(batches: Iterator[pa.RecordBatch], order: int, parts: int, splits: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The training part's distinct n-grams of each chunk by bucket, with their counts."""
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            held, sizes, words = _chunk_words(row)
-            train = np.repeat(~held, sizes)
-            asked = Asked(sizes, words, order, parts, splits, lambda _: train)  # noqa: B023
-            counts = np.bincount(asked.places, minlength=len(asked.columns[0]))
+            held, *words = _chunk_words(row)
+            asked = Asked(*words, order, parts, splits, train=np.repeat(~held, words[0]))
             for b, part in asked.slices():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeeze([*trie([c[part] for c in asked.columns]), counts[part]])], pa.binary())], names=["bucket", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeeze([*trie([c[part] for c in asked.columns]), asked.counts[part]])], pa.binary())], names=["bucket", "grams"])
 
 
 def _ask_scores(batches: Iterator[pa.RecordBatch], order: int, parts: int, splits: np.ndarray, phase: int, phases: int) -> Iterator[pa.RecordBatch]:
     """All distinct n-grams of each chunk in the buckets of a phase."""
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            _, sizes, words = _chunk_words(row)
-            asked = Asked(sizes, words, order, parts, splits, lambda b: b % phases == phase)
+            asked = Asked(*_chunk_words(row)[1:], order, parts, splits, wanted=lambda b: b % phases == phase)
             for b, part in asked.slices():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row[0]], pa.int64()), pa.array([squeeze(trie([c[part] for c in asked.columns]))], pa.binary())], names=["bucket", "chunk", "grams"])
 
@@ -333,7 +386,7 @@ def restored(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows with the sums of their counts."""
-    order, new = _sorted_rows(columns)
+    order, new = Keys(columns).sorted()
     return [c[order[new]] for c in columns], np.add.reduceat(counts[order], np.flatnonzero(new)) if len(order) else counts
 
 
@@ -489,8 +542,8 @@ def _answer(asked: pa.Table, rows: pa.Table, order: int, unigrams, d: list[np.nd
 def _add_up(encoded: pa.Table, answers: pa.Table, order: int, parts: int, splits: np.ndarray, phase: int, phases: int) -> pa.Table:
     """What the tokens of a phase add to each document of a chunk."""
     row = tuple(c[0].as_py() for c in encoded.columns)
-    _, sizes, words = _chunk_words(row)
-    asked = Asked(sizes, words, order, parts, splits, lambda b: b % phases == phase)
+    _, sizes, *words = _chunk_words(row)
+    asked = Asked(sizes, *words, order, parts, splits, wanted=lambda b: b % phases == phase, placed=True)
     logs = np.zeros(len(asked.columns[0]))
     of = dict(zip(answers.column("bucket").to_pylist(), answers.column("logs").to_pylist()))
     for b, part in asked.slices():
@@ -505,8 +558,8 @@ def _document_rows(batches: Iterator[pa.RecordBatch], unigrams) -> Iterator[pa.R
     base = np.log10((model.counts + 1) / (model.total + model.kinds + 1))
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            _, sizes, words = _chunk_words(row)
-            level, first = model.level(words), np.cumsum(sizes) - sizes
+            _, sizes, known, local = _chunk_words(row)
+            level, first = model.level(known)[local], np.cumsum(sizes) - sizes
             known = np.add.reduceat((model.counts[level] > 0).astype(np.int64), first)
             values = (row[0], row[1], row[2], row[3], pack(known), pack(np.add.reduceat(base[level], first)))
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["chunk", "docs", "held", "sizes", "known", "base"])
