@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template iframe object svg math canvas video audio textarea select title".split())
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title".split())
+#: Elements whose content is no text of the page; without an end tag of their own they are taken for empty.
+EMBED = frozenset("noscript template iframe object svg math canvas video audio select".split())
 #: Elements that are never part of an article.
-CHROME = frozenset("nav footer aside form button dialog menu head fieldset".split()) | RAW
+CHROME = frozenset("nav footer aside form button dialog menu head fieldset".split()) | RAW | EMBED
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option".split()
@@ -46,8 +48,13 @@ NEAR_PARTS = frozenset("has is no with without".split())
 #: From this share of links on a name that only hints at chrome is believed.
 LINKED = 0.5
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)[^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Open elements inside each other, after which further ones lie beside each other (as in browsers).
+DEPTH = 512
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+#: Where a tag may end, or a quoted value begin.
+STOP = re.compile(r"(>)|=\s*+([\"'])")
+ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -63,16 +70,17 @@ def chrome_name(parts: list[str]) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chrome", "named", "liked", "score", "text_len", "link_len", "commas")
+    __slots__ = ("tag", "parent", "children", "chrome", "named", "liked", "score", "text_len", "link_len", "commas", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
         self.score = 0.0
         self.text_len = self.link_len = self.commas = 0
         self.named, content = 0, False
         hidden = False
         for m in ATTRIBUTE.finditer(attributes) if attributes else ():
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            name, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
             elif name in ("class", "id", "role") and not (name == "id" and tag in HEADINGS):
@@ -84,6 +92,8 @@ class Node:
         self.chrome = tag in CHROME or hidden or tag == "header" and not self.inside("article") and not self.inside("main")
         if self.liked or tag in ("html", "body") or tag == "header" and self.inside("article"):
             self.named = 0
+        if tag in HEADINGS:  # "entry-header" is no site header
+            self.named = min(self.named, 1)
 
     def inside(self, tag: str) -> bool:
         at = self.parent
@@ -94,26 +104,75 @@ class Node:
         return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before it, whether it is an end tag, name, attributes) of each tag, and the text after the last one.
+
+    Comments and declarations are left out. A quoted value may hold ``>``; a
+    quote without its fellow, and a tag without its end, count as text. Each
+    character is looked at a bounded number of times.
+    """
+    pos, start, end = 0, 0, len(page)
+    lone: set[str] = set()  # quotes of which no more will come
+    text: list[str] = []
+    while True:
+        at = page.find("<", pos)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            text.append(page[start:at])
+            if page.startswith(("<!-->", "<!--->"), at):
+                close = page.index(">", at)
+            else:
+                close = page.find("-->", at + 4)
+                close = close + 2 if close >= 0 else end
+            pos = start = close + 1
+            continue
+        m = TAG.match(page, at)
+        if m is None:
+            if page.startswith(("<!", "<?", "</"), at):
+                close = page.find(">", at)
+                text.append(page[start:at])
+                pos = start = close + 1 if close >= 0 else end
+            else:
+                pos = at + 1
+            continue
+        stop, close = m.end(), -1
+        while (found := STOP.search(page, stop)) is not None:
+            if found[1]:
+                close = found.start()
+                break
+            quote = found[2]
+            other = -1 if quote in lone else page.find(quote, found.end())
+            if other < 0:
+                lone.add(quote)
+            stop = other + 1 if other >= 0 else found.end()
+        if close < 0:  # no tag ends any more
+            break
+        name = m[1].lower()
+        yield "".join([*text, page[start:at]]), page[at + 1] == "/", name, page[m.end() : close]
+        text.clear()
+        pos = start = close + 1
+        if name in RAW and page[at + 1] != "/":
+            found = RAW_END[name].search(page, pos)
+            pos = start = found.start() if found else end
+    yield "".join([*text, page[start:]]), False, "", ""
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its leaves are strings with character references decoded."""
     root = at = Node("html", None)
-    pos, end = 0, len(page)
-    while pos < end:
-        m = TOKEN.search(page, pos)
-        text = page[pos : m.start() if m else end]
+    open_embeds: dict[int, Node] = {}
+    for text, ends, tag, attributes in tokens(page):
         if text:
             at.children.append(html.unescape(text) if "&" in text else text)
-        if not m:
+        if not tag:
             break
-        pos = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             up = at
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
+                open_embeds.pop(id(up), None)
                 at = up.parent
             elif tag == "p":
                 at.children.append(Node("p", at))
@@ -134,15 +193,16 @@ def parse(page: str) -> Node:
                 up = up.parent
         if tag in ("html", "body") and any(up.tag == tag for up in _line(at)):
             continue
-        node = Node(tag, at, m[3])
+        node = Node(tag, at, attributes)
         at.children.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else end
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = node
-        elif tag not in VOID and tag in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
+            continue
+        if at.depth < DEPTH:
             at = node
+            if tag in EMBED:
+                open_embeds[id(node)] = node
+    for node in open_embeds.values():
+        node.chrome = False
     return root
 
 

@@ -252,21 +252,26 @@ class Keys:
 
     def __init__(self, columns: list[np.ndarray]):
         self.keys: list[np.ndarray] = []
-        self.fields: list[tuple[int, int]] = []  # bits of each column, and what counts as BEGIN in it
-        room = 0
+        self.fields: list[tuple[int, np.ndarray | int]] = []  # bits of each column, and what counts as BEGIN in it, or its values
+        values, bits = [], []
         for column in columns:
             first = column == BEGIN  # counts as one more than the largest word here
             most = int(column[~first].max(initial=0)) + 1
-            bits = most.bit_length()
-            if bits < 32:
-                column = np.where(first, np.uint32(most), column)
-            if room >= bits:
-                self.keys[-1] = self.keys[-1] << np.uint64(bits) | column
+            values.append((np.where(first, np.uint32(most), column) if most.bit_length() < 32 else column, most))
+            bits.append(most.bit_length())
+        for i, column in enumerate(columns):
+            if sum(bits) > 64:  # ranks of the values are shorter
+                known, ranks = np.unique(column, return_inverse=True)
+                values[i], bits[i] = (ranks.astype(np.uint32), known), len(known).bit_length()
+        room = 0
+        for (column, meaning), n in zip(values, bits):
+            if room >= n:
+                self.keys[-1] = self.keys[-1] << np.uint64(n) | column
             else:
                 self.keys.append(column.astype(np.uint64))
                 room = 64
-            room -= bits
-            self.fields.append((bits, most))
+            room -= n
+            self.fields.append((n, meaning))
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """The order of the rows, and where a new one begins in it."""
@@ -285,9 +290,12 @@ class Keys:
         key = np.sort(self.keys[0])
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         left, columns = key[first], []
-        for bits, most in reversed(self.fields):
+        for bits, meaning in reversed(self.fields):
             column = (left & np.uint64((1 << bits) - 1)).astype(np.uint32)
-            columns.append(np.where(column == most, BEGIN, column) if bits < 32 else column)
+            if isinstance(meaning, int):
+                columns.append(np.where(column == meaning, BEGIN, column) if bits < 32 else column)
+            else:
+                columns.append(meaning[column])
             left = left >> np.uint64(bits)
         return columns[::-1], np.diff(np.append(first, len(key)))
 

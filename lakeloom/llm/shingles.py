@@ -8,6 +8,10 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACES = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_BYTES = np.arange(256)
+#: What a byte counts in a hash, A-Z as a-z, and whether it is part of a word.
+_VALUES = (_BYTES + np.where((_BYTES >= 65) & (_BYTES <= 90), 33, 1)).astype(np.uint64)
+_BLACK = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 _powers: list[np.ndarray] = []
 
 
@@ -38,7 +42,7 @@ def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    black = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    black = _BLACK[data]
     before = np.concatenate([[False], black[:-1]])
     before[bounds[:-1][bounds[:-1] < n]] = False
     after = np.concatenate([black[1:], [False]])
@@ -46,8 +50,10 @@ def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     after[inner[inner >= 0]] = False
     starts, ends = np.flatnonzero(black & ~before), np.flatnonzero(black & ~after) + 1
     power, inverse = _power_tables(n)
-    value = data.astype(np.uint64) + np.where((data >= 65) & (data <= 90), np.uint64(33), np.uint64(1))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:n], dtype=np.uint64)])
+    value = _VALUES[data]
+    value *= power[:n]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(value, out=sums[1:])
     words = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(words + (ends - starts).astype(np.uint64) * _PLACES[0]), np.searchsorted(starts, bounds)
 

@@ -4,6 +4,7 @@ import random
 import re
 import string
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -46,6 +47,67 @@ def test_html_names_do_not_outweigh_articles():
     assert html_text.extract(page).split("\n") == html_text.extract(f"<article>{text}</article>").split("\n")
 
 
+def test_html_of_broken_and_long_pages():
+    text = "".join(f"<p>Paragraph {i} is long enough, has commas, and is no link.</p>" for i in range(4))
+    for page in (
+        f"<div class='layout with-sidebar'><div class='content'>{text}</div></div>",
+        f"<div class='search'><article>{text}</article></div>",
+        f"<article><svg width=1 viewBox='0 0 1 1'/>{text}</article>",
+        f"<article><object data=x>{text}</article>",
+        f"<!--><article>{text}</article>",
+        f"<article><!---><iframe src=x></iframe>{text}</article>",
+        f"<article><img alt='a > b' title=it's>{text}</article>",
+    ):
+        assert html_text.extract(page).count("Paragraph") == 4, page
+    assert html_text.extract(f"<article><h1 class='entry-header'>Title</h1>{text}</article>").split("\n")[0] == "Title"
+    assert html_text.extract(f"<article>{text}<video><p>No video, sorry, really.</p></video><select><option>a</select></article>").count("\n") == 3
+    assert html_text.extract("<p>1 < 2 and a <b and no end") == "1 < 2 and a <b and no end"
+    began = time.time()
+    for piece in ("<a ", "<a b=\"", "<a b='x", "<!--", "<b>", "<p><b>", "<li>", "<td><table>", "</x>", "&#", "<a class", "= '", "<script>", "<"):
+        html_text.extract(piece * (1_000_000 // len(piece)) if piece not in ("<b>", "<p><b>", "<li>", "<td><table>") else piece * 20_000)
+    assert time.time() - began < 60
+
+
+def test_html_of_generated_pages():
+    """Pages made from known blocks, in random markup: the article's blocks come back, the others do not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() + ("," if rng.random() < 0.2 else "") for _ in range(rng.randint(12, 40))) + " end"
+
+    def inline(text):
+        parts = text.split(" ")
+        i = rng.randrange(len(parts))
+        parts[i] = rng.choice(["<b>{}</b>", "<a href='x'>{}</a>", "<em class=note>{}</em>", "{}", "<span>{}</span>"]).format(parts[i])
+        return rng.choice([" ", "  ", "\n"]).join(parts)
+
+    def link_list():
+        return "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randint(3, 8))) + "</ul>"
+
+    for _ in range(200):
+        truth, body = [], []
+        for _ in range(rng.randint(4, 12)):
+            kind = rng.random()
+            text = sentence()
+            truth.append(text)
+            if kind < 0.7:
+                body.append(f"<p>{inline(text)}" + rng.choice(["</p>", ""]))
+            elif kind < 0.8:
+                truth[-1] = word() + " &<é"
+                body.append(f"<h2>{truth[-1].replace('&', '&amp;').replace('<', '&lt;').replace('é', '&eacute;')}</h2>")
+            elif kind < 0.9:
+                body.append(f"<blockquote>{inline(text)}</blockquote>")
+            else:
+                truth[-1:] = items = [sentence() for _ in range(3)]
+                body.append("<ul>" + "".join(f"<li>{inline(x)}" + rng.choice(["</li>", ""]) for x in items) + "</ul>")
+            if rng.random() < 0.2:
+                body.append(rng.choice(["<script>if (a < b) x('<p>no</p>')</script>", "<style>p{}</style>", "<!-- <p>no --> ", f"<div class='ad'>{word()}</div>", f"<aside>{sentence()}</aside>"]))
+        around = [f"<nav>{link_list()}</nav>", f"<header>{word()}</header>", f"<div class='sidebar'>{link_list()}</div>", f"<div id='menu'>{link_list()}</div>", f"<footer><p>{word()}</p></footer>", f"<form><input>{word()}</form>", f"<div class='comments'><p>{sentence()}</p></div>"]
+        before, after = rng.sample(around, 3), rng.sample(around, 3)
+        box = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>", "<div>{}</div>", "<td>{}</td>"]).format("".join(body))
+        page = "<!DOCTYPE html><html><head><title>no</title></head><body>" + "".join(before) + ("<table><tr>" + box + "</table>" if box.startswith("<td>") else box) + "".join(after) + "</body></html>"
+        assert html_text.extract(page).split("\n") == truth, page
+
+
 def test_html_keeps_whole_articles(spark):
     body = "".join(f"<p>Paragraph {i}, with some words, and more.</p>" for i in range(2000))
     pages = spark.createDataFrame([(1, "u", f"<nav><a>x</a></nav><article><h1>T</h1>{body}</article>", 3), (None, None, None, None)], "page_id long, url string, html string, text int")
