@@ -1,28 +1,32 @@
-"""Byte-level BPE by a global shuffle of distinct pre-token runs.
+"""Byte-level BPE by a global shuffle of distinct pre-tokens.
 
-Documents are split, in chunks, into units (pre-tokens between two spaces, see
-:mod:`lakeloom.llm.units`). Each chunk sends its distinct units to the bucket
-of their hash, where each is encoded once for the whole corpus; ids go back to
-the chunks, which put them together by position. What travels is compressed. Decoding looks ids up in the
+Documents are split, in chunks, into pre-tokens. Each chunk sends its distinct
+ones to the bucket of their hash, where each is encoded once for the whole
+corpus; ids go back to the chunks, which put them together by position. What
+travels is compressed, a row for each chunk and bucket. Decoding joins the
 token-byte table.
+
+The pattern need not run over every word: a chunk first cuts its texts where no
+pre-token can lie across (see :mod:`lakeloom.llm.units`) and splits each
+distinct piece into pre-tokens once.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import partitions, small_batches
-from lakeloom.llm.units import splittable, unit_keys, unit_text
+from lakeloom.llm.units import pieces_of
 
 #: Characters of text after which a task closes a chunk.
 CHUNK = 8_000_000
@@ -37,18 +41,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encoding(path: str, pattern: str):
-    """(tiktoken encoding without special tokens, bytes of each id), loaded once for each worker."""
+    """(tiktoken encoding without special tokens, ranks, compiled pattern), loaded once for each worker."""
     if (path, pattern) not in _loaded:
         import tiktoken
 
         ranks = load_ranks(path)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        _loaded[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tokens
+        _loaded[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks, regex.compile(pattern)
     return _loaded[path, pattern]
 
 
+def token_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table of a ``.tiktoken`` file: id, bytes."""
+    return spark.createDataFrame([(rank, bytearray(token)) for token, rank in load_ranks(path).items()], "id int, bytes binary")
+
+
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
     """(chunk, ids, texts) of a task's rows in scan order, cut after every ``CHUNK`` characters."""
     chunk, size, docs, texts = TaskContext.get().partitionId() << 32, 0, [], []
@@ -88,24 +94,50 @@ def packed_chunks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary")
 
 
-def bucketed(units: set[str], buckets: int) -> dict[int, list[str]]:
-    """Units by bucket of their bytes' CRC, each list in order of text."""
-    out: dict[int, list[str]] = {}
-    for unit in sorted(units):
-        out.setdefault(zlib.crc32(unit.encode("utf-8", "surrogatepass")) % buckets, []).append(unit)
-    return out
+class Chunk:
+    """The pieces of a chunk's texts, and the pre-tokens of each distinct piece.
+
+    ``literal`` pieces stand for themselves, ``spaced`` ones for a space and
+    what they hold.
+    """
+
+    def __init__(self, texts: list[str], pattern: str, split: regex.Pattern):
+        self.texts = [pieces_of(text, pattern) for text in texts]
+        literal: set[str] = set()
+        spaced: set[str] = set()
+        for first, rest in self.texts:
+            literal.update(first)
+            spaced.update(rest)
+        self.literal = {piece: split.findall(piece) for piece in literal}
+        self.spaced = {piece: split.findall(" " + piece) for piece in spaced}
+
+    def bucketed(self, buckets: int) -> dict[int, list[str]]:
+        """The distinct pre-tokens by bucket of their bytes' CRC, each list in order of text."""
+        out: dict[int, list[str]] = {}
+        for token in sorted({t for found in (self.literal, self.spaced) for tokens in found.values() for t in tokens}):
+            out.setdefault(zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets, []).append(token)
+        return out
+
+    def ids(self, known: dict[str, bytes]) -> list[bytes]:
+        """Each text's ids, put together from those of its pre-tokens."""
+        look = known.__getitem__
+        literal, spaced = ({piece: b"".join(map(look, tokens)) for piece, tokens in found.items()} for found in (self.literal, self.spaced))
+        return [b"".join([*map(literal.__getitem__, first), *map(spaced.__getitem__, rest)]) for first, rest in self.texts]
 
 
-def distinct_units(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, units): what each chunk needs encoded, compressed."""
+def encode_one(token: str, bpe, ranks: dict[bytes, int]) -> bytes:
+    """The ids of one pre-token."""
+    rank = ranks.get(token.encode("utf-8", "surrogatepass"))
+    return np.array(bpe.encode_ordinary(token) if rank is None else [rank], "<u4").tobytes()
+
+
+def distinct_tokens(rows: DataFrame, ranks: str, pattern: str, buckets: int) -> DataFrame:
+    """(bucket, chunk, units): the pre-tokens that each chunk needs encoded, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = encoding(ranks, pattern)[2]
         for chunk, _, texts in cut(batches):
-            units: set[str] = set()
-            for text in texts:
-                if splittable(text) and (keys := unit_keys(text)) is not None:
-                    units.update(keys)
-            lists = bucketed(units, buckets)
+            lists = Chunk(texts, pattern, split).bucketed(buckets)
             if lists:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(lists), pa.int32()), pa.array([chunk] * len(lists), pa.int64()), pa.array([blob(u)[0] for u in lists.values()], pa.binary())], names=["bucket", "chunk", "units"]
@@ -114,76 +146,72 @@ def distinct_units(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, chunk long, units binary")
 
 
-def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Encode every whole text and decode the ids again.
-
-    Returns id, ``ids`` (binary, little-endian uint32) and ``decoded``
-    (binary); with ``digests`` their lengths and SHA-256 instead: ``n_tokens``,
-    ``ids_sha256`` (of decimal ids joined by commas), ``decoded_sha256``. A null
-    text is empty and has no id. Rows are independent: repeated ones and null
-    ids give a row each. An empty table gives an empty result.
-
-    Texts with runs of white space that no unit boundary is safe in are
-    encoded whole where they are; so is any unit that a chunk misses because a
-    repeated scan gave its rows in another order.
-    """
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``ids`` array<int>): every whole text's ids by the ranks in a ``.tiktoken`` file, each match of ``pattern`` separately."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = partitions(spark)
 
-    def encode(table: pa.Table) -> pa.Table:
-        bpe, _ = encoding(ranks, pattern)
+    def encode_bucket(table: pa.Table) -> pa.Table:
+        bpe, of, _ = encoding(ranks, pattern)
         known: dict[bytes, bytes] = {}
         ids, sizes, checks = [], [], []
         for compressed in table.column("units").to_pylist():
-            units = unblob(compressed)
-            for unit in units:
-                if unit not in known:
-                    known[unit] = np.array(bpe.encode_ordinary(unit_text(unit.decode())), "<u4").tobytes()
-            parts = [known[u] for u in units]
+            tokens = unblob(compressed)
+            for token in tokens:
+                if token not in known:
+                    known[token] = encode_one(token.decode("utf-8", "surrogatepass"), bpe, of)
+            parts = [known[u] for u in tokens]
             ids.append(zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
             sizes.append(zstandard.ZstdCompressor(level=1).compress(np.array([len(p) // 4 for p in parts], "<u4").tobytes()))
             checks.append(zlib.crc32(zstandard.ZstdDecompressor().decompress(compressed)))
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "check": pa.array(checks, pa.int64())})
 
-    encoded = distinct_units(rows, buckets).groupBy("bucket").applyInArrow(encode, "chunk long, bucket int, ids binary, sizes binary, check long")
+    encoded = distinct_tokens(rows, ranks, pattern, buckets).groupBy("bucket").applyInArrow(encode_bucket, "chunk long, bucket int, ids binary, sizes binary, check long")
 
-    def reassemble(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        bpe, tokens = encoding(ranks, pattern)
-        decimal = [b"%d" % i for i in range(len(tokens))]
-        ids_of = chunk.column("docs")[0].as_py()
-        texts = [t.decode("utf-8", "surrogatepass") for t in unblob(chunk.column("texts")[0].as_py())]
-        keyed = [unit_keys(t) if splittable(t) else None for t in texts]
-        wanted = bucketed(set().union(*(k for k in keyed if k is not None)), buckets)
+    def reassemble(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        bpe, of, split = encoding(ranks, pattern)
+        chunk = Chunk([t.decode("utf-8", "surrogatepass") for t in unblob(packed.column("texts")[0].as_py())], pattern, split)
+        wanted = chunk.bucketed(buckets)
         known: dict[str, bytes] = {}
         open_ = zstandard.ZstdDecompressor().decompress
         for bucket, ids, sizes, check in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "sizes", "check"))):
-            units = wanted.get(bucket, [])
-            if blob_check(units) == check:
+            tokens = wanted.get(bucket, [])
+            if blob_check(tokens) == check:
                 ids = open_(ids)
                 ends = np.cumsum(np.frombuffer(open_(sizes), "<u4").astype(np.int64) * 4).tolist()
-                known.update(zip(units, (ids[x:y] for x, y in zip([0, *ends], ends))))
-        for units in wanted.values():
-            for unit in units:
-                if unit not in known:
-                    known[unit] = np.array(bpe.encode_ordinary(unit_text(unit)), "<u4").tobytes()
-        look, out = known.__getitem__, []
-        for text, keys in zip(texts, keyed):
-            data = b"".join(map(look, keys)) if keys is not None else np.array(bpe.encode_ordinary(text), "<u4").tobytes()
-            ids = np.frombuffer(data, "<u4").tolist()
-            decoded = b"".join(map(tokens.__getitem__, ids))
-            if digests:
-                out.append((len(ids), hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            else:
-                out.append((data, decoded))
-        types = [pa.int64(), pa.string(), pa.string()] if digests else [pa.binary(), pa.binary()]
-        columns = list(zip(*out)) if out else [[]] * len(types)
-        return pa.Table.from_arrays([pa.array(ids_of, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *names])
-
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    schema = f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"`{id_col}` long, ids binary, decoded binary"
-    return packed_chunks(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, schema)
+                known.update(zip(tokens, (ids[x:y] for x, y in zip([0, *ends], ends))))
+        for tokens in wanted.values():
+            for token in tokens:
+                if token not in known:
+                    known[token] = encode_one(token, bpe, of)
+        ids = chunk.ids(known)
+        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        return pa.table([pa.array(packed.column("docs")[0].as_py(), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, "ids"])
+
+    return packed_chunks(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, f"`{id_col}` long, ids array<int>")
+
+
+def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Encode every whole text and decode the ids again.
+
+    Returns id, ``ids`` (array of int) and ``decoded`` (binary); with
+    ``digests`` their lengths and SHA-256 instead: ``n_tokens``,
+    ``ids_sha256`` (of decimal ids joined by commas), ``decoded_sha256``. A null
+    text is empty and has no id. Rows are independent: repeated ones and null
+    ids give a row each. An empty table gives an empty result. Columns that are
+    not named are not read, whatever their names.
+
+    A pre-token that a chunk misses, because a repeated scan gave its rows in
+    another order, is encoded where it is missed.
+    """
+    out = decode(encode(docs, ranks, pattern, id_col, text_col), token_bytes(docs.sparkSession, ranks), id_col)
+    if not digests:
+        return out
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def blob_check(strings: list[str]) -> int:
@@ -192,14 +220,31 @@ def blob_check(strings: list[str]) -> int:
     return zlib.crc32(b"".join(parts), zlib.crc32(np.array([len(p) for p in parts], "<u4").tobytes(), zlib.crc32(len(parts).to_bytes(8, "little"))))
 
 
-def decode(encoded: DataFrame, token_bytes: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Decode arrays of ids by a join with a token-byte table (id, bytes): (id, decoded).
+def decode(encoded: DataFrame, table: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Decode arrays of ids by a join with a token-byte table (id, bytes): ``id_col``, ``ids_col`` and ``decoded`` (binary).
 
-    The table is a vocabulary, so its size is bounded by the vocabulary's and
-    it is broadcast. Null arrays decode to empty bytes.
+    The table is a vocabulary, whose size the tokenizer bounds, so it is
+    broadcast, and a batch's ids meet it in one gather: no id is shuffled or
+    exploded into a row. Null arrays decode to empty bytes, and so do ids that
+    the table lacks.
     """
-    ids = encoded.select(F.col(id_col).alias("doc"), F.posexplode_outer(ids_col).alias("pos", "id"))
-    joined = ids.join(F.broadcast(token_bytes.select("id", "bytes")), "id", "left")
-    parts = joined.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("parts"))
-    text = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(F.coalesce(p["bytes"], F.lit(b"")))), ""))
-    return parts.select(F.col("doc").alias(id_col), text.alias("decoded"))
+    tokens = sorted((r.id, bytes(r.bytes)) for r in table.select("id", "bytes").collect())
+    shared = encoded.sparkSession.sparkContext.broadcast((np.array([i for i, _ in tokens], np.int64), [b for _, b in tokens]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, texts = shared.value
+        texts = pa.array([*texts, b""], pa.large_binary())
+        for batch in batches:
+            lists = batch.column(1).cast(pa.list_(pa.int64()))
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+            at = np.where(known[at] == ids, at, len(known)) if len(known) else np.zeros(len(ids), np.int64)
+            joined = texts.take(pa.array(at))
+            bounds = np.frombuffer(joined.buffers()[1], np.int64, len(ids) + 1, 8 * joined.offset)[np.cumsum([0, *sizes])]
+            decoded = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.tobytes()), joined.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), decoded], names=[id_col, ids_col, "decoded"])
+
+    rows = encoded.select(id_col, ids_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, decoded binary")

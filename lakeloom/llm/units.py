@@ -38,3 +38,20 @@ def unit_text(key: str) -> str:
 def splittable(text: str) -> bool:
     """False for texts in which a key could be mistaken for a first unit's."""
     return "\0" not in text
+
+
+#: A space between two characters that are no white space: pre-tokens never lie across the place before it.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+
+
+def pieces_of(text: str, pattern: str = PATTERN) -> tuple[list[str], list[str]]:
+    """A text as pieces that stand for themselves, and further ones that each stand for a space and what they hold.
+
+    Pre-tokens of the pieces are those of the text. Texts with an unsafe space
+    are cut at spaces between other characters only. Cuts are known to be safe
+    for :data:`PATTERN`; by another pattern a text is one piece.
+    """
+    if pattern != PATTERN:
+        return [text], []
+    first, *rest = text.split(" ") if UNSAFE.search(text) is None else BETWEEN.split(text)
+    return [first], rest

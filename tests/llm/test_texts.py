@@ -163,7 +163,7 @@ def test_cutting_stock_covers_any_histogram():
 
 
 def test_units_never_change_ids():
-    bpe, _ = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    bpe, ranks, split = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     encode = packing.cached_encoder(P.path("byte_bpe_50k.json"))
     from tokenizers import Tokenizer
 
@@ -175,11 +175,18 @@ def test_units_never_change_ids():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         if units.splittable(text) and (keys := units.unit_keys(text)) is not None:
             assert [i for k in keys for i in bpe.encode_ordinary(units.unit_text(k))] == bpe.encode_ordinary(text)
+    for pattern in (P.PATTERN, r"\p{L}+|[^\p{L}]"):
+        bpe, ranks, split = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), pattern)
+        chunk = byte_bpe.Chunk(texts, pattern, split)
+        known = {x: byte_bpe.encode_one(x, bpe, ranks) for found in chunk.bucketed(3).values() for x in found}
+        assert [np.frombuffer(x, "<u4").tolist() for x in chunk.ids(known)] == [bpe.encode_ordinary(x) for x in texts]
+        assert all(split.fullmatch(x) for x in known)  # what travels are pre-tokens
 
 
 def test_byte_bpe_round_trip(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    bpe, tokens = byte_bpe.encoding(path, P.PATTERN)
+    bpe, ranks, _ = byte_bpe.encoding(path, P.PATTERN)
+    tokens = sorted(ranks, key=ranks.get)
     got = {r.doc_id: r for r in byte_bpe.byte_bpe(X.frame(spark, DOCS), path, P.PATTERN, digests=True).collect()}
     for i, t in DOCS:
         ids = bpe.encode_ordinary(t or "")
