@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import partitions, small_batches
-from lakeloom.llm.units import pieces_of
+from lakeloom.llm.units import PATTERN, cut_everywhere, pieces_of
 
 #: Characters of text after which a task closes a chunk.
 CHUNK = 8_000_000
@@ -70,9 +71,8 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str
         yield chunk, docs, texts
 
 
-def blob(strings: list[str]) -> tuple[bytes, int]:
-    """Strings as compressed bytes, and the CRC of what is compressed."""
-    parts = [s.encode("utf-8", "surrogatepass") for s in strings]
+def blob(parts: list[bytes]) -> tuple[bytes, int]:
+    """Strings' bytes, compressed together, and the CRC of what is compressed."""
     data = len(parts).to_bytes(8, "little") + np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
     return zstandard.ZstdCompressor(level=3).compress(data), zlib.crc32(data)
 
@@ -89,46 +89,82 @@ def packed_chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, docs, texts in cut(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([blob(texts)[0]], pa.binary())], names=["chunk", "docs", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([blob([t.encode() for t in texts])[0]], pa.binary())], names=["chunk", "docs", "texts"])
 
     return rows.mapInArrow(run, "chunk long, docs array<long>, texts binary")
 
 
-class Chunk:
-    """The pieces of a chunk's texts, and the pre-tokens of each distinct piece.
+#: Pieces that are one pre-token, or a word with a mark after it, whatever the version of Unicode's tables.
+WORD, MARKED = "^ ?[A-Za-z]+$", "^ ?[A-Za-z]+[,.;:!?]$"
 
-    ``literal`` pieces stand for themselves, ``spaced`` ones for a space and
-    what they hold.
-    """
 
-    def __init__(self, texts: list[str], pattern: str, split: regex.Pattern):
-        self.texts = [pieces_of(text, pattern) for text in texts]
-        literal: set[str] = set()
-        spaced: set[str] = set()
-        for first, rest in self.texts:
-            literal.update(first)
-            spaced.update(rest)
-        self.literal = {piece: split.findall(piece) for piece in literal}
-        self.spaced = {piece: split.findall(" " + piece) for piece in spaced}
-
-    def bucketed(self, buckets: int) -> dict[int, list[str]]:
-        """The distinct pre-tokens by bucket of their bytes' CRC, each list in order of text."""
-        out: dict[int, list[str]] = {}
-        for token in sorted({t for found in (self.literal, self.spaced) for tokens in found.values() for t in tokens}):
-            out.setdefault(zlib.crc32(token.encode("utf-8", "surrogatepass")) % buckets, []).append(token)
-        return out
+def gather(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of those that lie between ``offsets`` in ``values``, one after the other, and their offsets."""
+    sizes = (offsets[1:] - offsets[:-1])[which]
+    ends = np.cumsum(sizes)
+    at = np.repeat(offsets[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return values[at], np.append(0, ends)
 
-    def ids(self, known: dict[str, bytes]) -> list[bytes]:
-        """Each text's ids, put together from those of its pre-tokens."""
-        look = known.__getitem__
-        literal, spaced = ({piece: b"".join(map(look, tokens)) for piece, tokens in found.items()} for found in (self.literal, self.spaced))
-        return [b"".join([*map(literal.__getitem__, first), *map(spaced.__getitem__, rest)]) for first, rest in self.texts]
 
+class Chunk:
+    """A chunk's texts as numbers of distinct pieces, and its distinct pre-tokens by bucket.
+
+    ``order`` tells which text comes when. ``tokens`` are the bytes of each
+    bucket's pre-tokens, sorted; ``pieces`` and ``texts`` are offsets into
+    ``piece_tokens``, places in the buckets' lists one after the other, and
+    ``text_pieces``.
+    """
 
-def encode_one(token: str, bpe, ranks: dict[bytes, int]) -> bytes:
+    def __init__(self, texts: list[str], pattern: str, split: regex.Pattern, buckets: int):
+        # most texts are cut at every space, all of them at once
+        every = [cut_everywhere(text, pattern) for text in texts]
+        self.order = np.argsort(~np.array(every), kind="stable")
+        whole = pc.split_pattern(pa.array([t for t, yes in zip(texts, every) if yes], pa.large_string()), " ")
+        others = [pieces_of(t, pattern) for t, yes in zip(texts, every) if not yes]
+        flat = pa.concat_arrays([whole.flatten(), pa.array([p for pieces in others for p in pieces], pa.large_string())])
+        self.texts = np.cumsum([0, *whole.value_lengths().to_numpy(), *map(len, others)])
+        spaced = np.ones(len(flat), bool)
+        spaced[self.texts[:-1]] = False
+        pieces = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), " ", "").cast(pa.large_string()), flat, pa.scalar("", pa.large_string())).dictionary_encode()
+        self.text_pieces, pieces = pieces.indices.to_numpy(), pieces.dictionary
+        plain = pattern == PATTERN
+        word, marked = (pc.match_substring_regex(pieces, kind).to_numpy(zero_copy_only=False) & plain for kind in (WORD, MARKED))
+        found = [split.findall(piece) for piece in pieces.filter(pa.array(~word & ~marked)).to_pylist()]
+        ends = pieces.filter(pa.array(marked))
+        tokens = pa.concat_arrays(
+            [pieces.filter(pa.array(word)), pc.utf8_slice_codeunits(ends, 0, -1), pc.utf8_slice_codeunits(ends, -1), pa.array([t for tokens in found for t in tokens], pa.large_string())]
+        ).dictionary_encode()
+        sizes = word + 2 * marked
+        sizes[~word & ~marked] = [len(tokens) for tokens in found]
+        self.pieces = np.append(0, np.cumsum(sizes))
+        at = np.empty(self.pieces[-1], np.int64)
+        first, n, m = self.pieces[:-1], int(word.sum()), int(marked.sum())
+        at[first[word]] = np.arange(n)
+        at[first[marked]], at[first[marked] + 1] = n + np.arange(m), n + m + np.arange(m)
+        rest = ~np.repeat(word | marked, sizes)
+        at[rest] = n + 2 * m + np.arange(int(rest.sum()))
+        kinds = tokens.dictionary.cast(pa.large_binary())
+        where = np.array([zlib.crc32(token) % buckets for token in kinds.to_pylist()], np.int64)
+        sorted_ = pc.sort_indices(kinds).to_numpy()
+        sorted_ = sorted_[np.argsort(where[sorted_], kind="stable")]
+        rank = np.empty(len(sorted_), np.int64)
+        rank[sorted_] = np.arange(len(sorted_))
+        self.piece_tokens = rank[tokens.indices.to_numpy()[at]]
+        used, cuts = np.unique(where[sorted_], return_index=True)
+        listed = kinds.take(pa.array(sorted_))
+        self.tokens = {b: listed.slice(x, y - x).to_pylist() for b, x, y in zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(sorted_)])}
+
+    def ids(self, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids and their offsets, in ``order``, from the ids of all pre-tokens and how many each has."""
+        values, offsets = gather(values, np.append(0, np.cumsum(sizes)), self.piece_tokens)
+        values, offsets = gather(values, offsets[self.pieces], self.text_pieces)
+        return values, offsets[self.texts]
+
+
+def encode_one(token: bytes, bpe, ranks: dict[bytes, int]) -> bytes:
     """The ids of one pre-token."""
-    rank = ranks.get(token.encode("utf-8", "surrogatepass"))
-    return np.array(bpe.encode_ordinary(token) if rank is None else [rank], "<u4").tobytes()
+    rank = ranks.get(token)
+    return np.array(bpe.encode_ordinary(token.decode()) if rank is None else [rank], "<u4").tobytes()
 
 
 def distinct_tokens(rows: DataFrame, ranks: str, pattern: str, buckets: int) -> DataFrame:
@@ -137,7 +173,7 @@ def distinct_tokens(rows: DataFrame, ranks: str, pattern: str, buckets: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoding(ranks, pattern)[2]
         for chunk, _, texts in cut(batches):
-            lists = Chunk(texts, pattern, split).bucketed(buckets)
+            lists = Chunk(texts, pattern, split, buckets).tokens
             if lists:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(lists), pa.int32()), pa.array([chunk] * len(lists), pa.int64()), pa.array([blob(u)[0] for u in lists.values()], pa.binary())], names=["bucket", "chunk", "units"]
@@ -161,7 +197,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             tokens = unblob(compressed)
             for token in tokens:
                 if token not in known:
-                    known[token] = encode_one(token.decode("utf-8", "surrogatepass"), bpe, of)
+                    known[token] = encode_one(token, bpe, of)
             parts = [known[u] for u in tokens]
             ids.append(zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
             sizes.append(zstandard.ZstdCompressor(level=1).compress(np.array([len(p) // 4 for p in parts], "<u4").tobytes()))
@@ -172,24 +208,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
 
     def reassemble(packed: pa.Table, answers: pa.Table) -> pa.Table:
         bpe, of, split = encoding(ranks, pattern)
-        chunk = Chunk([t.decode("utf-8", "surrogatepass") for t in unblob(packed.column("texts")[0].as_py())], pattern, split)
-        wanted = chunk.bucketed(buckets)
-        known: dict[str, bytes] = {}
+        chunk = Chunk([t.decode() for t in unblob(packed.column("texts")[0].as_py())], pattern, split, buckets)
         open_ = zstandard.ZstdDecompressor().decompress
-        for bucket, ids, sizes, check in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "sizes", "check"))):
-            tokens = wanted.get(bucket, [])
-            if blob_check(tokens) == check:
-                ids = open_(ids)
-                ends = np.cumsum(np.frombuffer(open_(sizes), "<u4").astype(np.int64) * 4).tolist()
-                known.update(zip(tokens, (ids[x:y] for x, y in zip([0, *ends], ends))))
-        for tokens in wanted.values():
-            for token in tokens:
-                if token not in known:
-                    known[token] = encode_one(token, bpe, of)
-        ids = chunk.ids(known)
-        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-        return pa.table([pa.array(packed.column("docs")[0].as_py(), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[id_col, "ids"])
+        found = {row[0]: row[1:] for row in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "sizes", "check")))}
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for bucket, tokens in chunk.tokens.items():
+            if bucket in found and found[bucket][2] == blob_check(tokens):
+                ids.append(np.frombuffer(open_(found[bucket][0]), "<u4"))
+                sizes.append(np.frombuffer(open_(found[bucket][1]), "<u4"))
+            else:
+                own = [encode_one(token, bpe, of) for token in tokens]
+                ids.append(np.frombuffer(b"".join(own), "<u4"))
+                sizes.append(np.array([len(x) // 4 for x in own]))
+        values, offsets = chunk.ids(np.concatenate(ids), np.concatenate(sizes).astype(np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+        docs = pa.array(packed.column("docs")[0].as_py(), pa.int64())
+        return pa.table([docs.take(pa.array(chunk.order)), lists], names=[id_col, "ids"])
 
     return packed_chunks(rows).groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, f"`{id_col}` long, ids array<int>")
 
@@ -214,9 +248,8 @@ def byte_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id",
     return out.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def blob_check(strings: list[str]) -> int:
+def blob_check(parts: list[bytes]) -> int:
     """The CRC that :func:`blob` gives."""
-    parts = [s.encode("utf-8", "surrogatepass") for s in strings]
     return zlib.crc32(b"".join(parts), zlib.crc32(np.array([len(p) for p in parts], "<u4").tobytes(), zlib.crc32(len(parts).to_bytes(8, "little"))))
 
 

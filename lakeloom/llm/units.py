@@ -44,14 +44,18 @@ def splittable(text: str) -> bool:
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-def pieces_of(text: str, pattern: str = PATTERN) -> tuple[list[str], list[str]]:
-    """A text as pieces that stand for themselves, and further ones that each stand for a space and what they hold.
+def cut_everywhere(text: str, pattern: str = PATTERN) -> bool:
+    """Whether a pre-token boundary lies before every space of a text."""
+    return pattern == PATTERN and UNSAFE.search(text) is None
+
+
+def pieces_of(text: str, pattern: str = PATTERN) -> list[str]:
+    """A text's pieces; all but the first one stand for a space and what they hold.
 
     Pre-tokens of the pieces are those of the text. Texts with an unsafe space
     are cut at spaces between other characters only. Cuts are known to be safe
     for :data:`PATTERN`; by another pattern a text is one piece.
     """
     if pattern != PATTERN:
-        return [text], []
-    first, *rest = text.split(" ") if UNSAFE.search(text) is None else BETWEEN.split(text)
-    return [first], rest
+        return [text]
+    return text.split(" ") if cut_everywhere(text) else BETWEEN.split(text)

@@ -169,7 +169,7 @@ def test_units_never_change_ids():
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rng = random.Random(5)
-    parts = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "1", "é", "ß", "!", "\x1c", "\x85", "\xa0", "\u3000", "中", "😀", "<|endoftext|>", "\0", " \n ", "\r", "_"]
+    parts = ["a", "b", "ab,", " ", "  ", "\n", "\t", "'s", "'ll", "1", "é", "ß", "!", "\x1c", "\x85", "\xa0", "\u3000", "中", "😀", "<|endoftext|>", "\0", " \n ", "\r", "_"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
     for text, ids in zip(texts, encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -177,10 +177,12 @@ def test_units_never_change_ids():
             assert [i for k in keys for i in bpe.encode_ordinary(units.unit_text(k))] == bpe.encode_ordinary(text)
     for pattern in (P.PATTERN, r"\p{L}+|[^\p{L}]"):
         bpe, ranks, split = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), pattern)
-        chunk = byte_bpe.Chunk(texts, pattern, split)
-        known = {x: byte_bpe.encode_one(x, bpe, ranks) for found in chunk.bucketed(3).values() for x in found}
-        assert [np.frombuffer(x, "<u4").tolist() for x in chunk.ids(known)] == [bpe.encode_ordinary(x) for x in texts]
-        assert all(split.fullmatch(x) for x in known)  # what travels are pre-tokens
+        chunk = byte_bpe.Chunk(texts, pattern, split, 3)
+        known = [x for found in chunk.tokens.values() for x in found]
+        own = [byte_bpe.encode_one(x, bpe, ranks) for x in known]
+        ids, offsets = chunk.ids(np.frombuffer(b"".join(own), "<u4"), np.array([len(x) // 4 for x in own]))
+        assert [ids[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == [bpe.encode_ordinary(texts[i]) for i in chunk.order]
+        assert all(split.fullmatch(x.decode()) for x in known)  # what travels are pre-tokens
 
 
 def test_byte_bpe_round_trip(spark):
