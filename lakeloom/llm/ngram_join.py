@@ -24,6 +24,7 @@ Every verification intersects the whole sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ MINIMA = 4
 BITS, GROUP = 4096, 64
 #: Documents that are compared with a token group at once.
 QUERIES = 256
-#: Documents in a block of a posting list; longer lists are compared block by block in different tasks.
+#: Documents in a block of a posting list; longer lists are compared block by block, within reach of their sizes, in different tasks.
 LIST_BLOCK = 2048
 #: Shingles that a task gathers before it sends them.
 FLUSH = 1_500_000
@@ -58,7 +59,7 @@ _NOBODY = np.int64(-(2**63))
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of documents (kind 0) and of posted shingles by bucket (kind 1)."""
     schema = pa.schema(
-        [("kind", pa.int32()), ("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("k", pa.int64()), ("low", pa.int64()), ("minima", pa.list_(pa.int64()))]
+        [("kind", pa.int32()), ("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("k", pa.int64()), ("low", pa.int64()), ("minima", pa.list_(pa.int64()))]
         + [("bucket", pa.int32()), ("tokens", pa.binary()), ("keys", pa.binary())]
     )
     salts = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,8 +77,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         held = np.diff(np.append(first, len(tokens)))
         common = np.repeat(held > RARE, held)
         lost = dict(zip(*(x.tolist() for x in np.unique(keys[common], return_counts=True))))
-        rows = [(0, doc, n, digest, k, low - lost.get(k, 0), minima) for doc, n, digest, k, low, minima in docs]
-        columns = list(zip(*rows)) if rows else [[]] * 7
+        rows = [(0, doc, row, n, digest, k, low - lost.get(k, 0), minima) for doc, row, n, digest, k, low, minima in docs]
+        columns = list(zip(*rows)) if rows else [[]] * 8
         for at in range(0, len(rows), 2000):
             part = [c[at : at + 2000] for c in columns]
             empty = [pa.nulls(len(part[0]), t) for t in (pa.int32(), pa.binary(), pa.binary())]
@@ -94,7 +95,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         for b in range(buckets):
             x, y = cuts[b], cuts[b + 1]
             if y > x:
-                row = [[1], [None], [None], [None], [None], [None], [None], [b], [tokens[x:y].tobytes()], [keys[x:y].tobytes()]]
+                row = [[1], *[[None]] * 7, [b], [tokens[x:y].tobytes()], [keys[x:y].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
         docs.clear()
         posted.clear()
@@ -102,16 +103,16 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
 
     for batch in batches:
         with np.errstate(over="ignore"):
-            sets = text_shingles(batch.column(1), size)
-            for doc, s in zip(batch.column(0).to_pylist(), sets):
+            sets = text_shingles(batch.column(2), size)
+            for doc, row, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets):
                 if not len(s):
-                    docs.append((doc, 0, None, None, 0, None))
+                    docs.append((doc, row, 0, None, None, 0, None))
                     continue
                 digest = hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
                 k = int.from_bytes(digest[:8], "little", signed=True)
                 low = s[: np.searchsorted(s, _LOW)]
                 minima = [int(v) for v in mix(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64)]
-                docs.append((doc, len(s), digest, k, len(low), minima))
+                docs.append((doc, row, len(s), digest, k, len(low), minima))
                 if k not in posted:
                     posted[k] = low
                     gathered += len(low)
@@ -121,7 +122,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         yield from flush()
 
 
-SKETCH = "kind int, doc long, n long, digest binary, k long, low long, minima array<long>, bucket int, tokens binary, keys binary"
+SKETCH = "kind int, doc long, row long, n long, digest binary, k long, low long, minima array<long>, bucket int, tokens binary, keys binary"
 
 
 def _posted_pairs(table: pa.Table, buckets: int) -> pa.Table:
@@ -251,19 +252,23 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id reachable by links, its own included). Words are runs of anything but
     ASCII white space, A-Z lower-cased; a text of fewer words is one shingle.
     Null and empty texts have no shingle, link with nothing, and are their own
-    component. Ids are taken to be unique; rows that repeat one are one
-    document in the components. A row with a null id has its set's component.
-    An empty table gives an empty result. ``percent`` must be above 66, so that
-    a prefix fits into the posted share of the hash range.
+    component. Each row is linked by its own text, whether its id is repeated
+    or null; a component of null ids only has a null one. An empty table gives
+    an empty result; columns that are not named are not read. ``percent`` must
+    be above 66, so that a prefix fits into the posted share of the hash range.
     """
+    if not 100 * (1 - REGION) < percent <= 100:
+        raise ValueError(f"percent must be above {100 * (1 - REGION):g} and at most 100")
     spark = docs.sparkSession
     small_batches(spark)
     buckets = partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a row's own key: repeated rows share it, a null id has one too
+    texts = texts.select("doc", F.xxhash64("doc", "text").alias("row"), "text")
     sketch = materialize(texts.mapInArrow(lambda it: _sketch(it, size, buckets), SKETCH), "shingle-sketch")
     rows = sketch.filter("kind = 0").select("doc", "n", "digest")
     classes = materialize(
-        sketch.filter("kind = 0 and n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("k").alias("k"), F.min("low").alias("low"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies")),
+        sketch.filter("kind = 0 and n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.min("doc").alias("first_doc"), F.first("n").alias("n"), F.first("k").alias("k"), F.min("low").alias("low"), F.first("minima").alias("minima"), F.count(F.lit(1)).alias("copies")),
         "shingle-classes",
     )
 
@@ -289,7 +294,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaders = materialize(minima.groupBy("j", "m").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("j", "m", "leader"), "leaders")
     stars = materialize(minima.join(leaders, ["j", "m"]).filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "leader-pairs")
     need = held.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = texts.join(need.hint("merge"), texts.doc == need.rep, "left_semi")
+    wanted = texts.select("row", "text").join(need.hint("merge"), texts.row == need.rep, "left_semi").groupBy("row").agg(F.first("text").alias("text"))
     sets = materialize(wanted.mapInArrow(lambda it: _token_sets(it, size), "rep long, tokens array<long>, bits binary"), "token-sets")
     links = materialize(_similar(pairs, sets, percent), "links-rare")
     star_links = materialize(_similar(stars, sets, percent), "links-leaders")
@@ -300,14 +305,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = members.select("rep", "n", "own", F.explode("tokens").alias("token"))
     df = materialize(tokens.select("token", "own").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "group-frequencies")
     rarest = Window.partitionBy("rep").orderBy("df", "token")
-    posts = tokens.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(rarest)).filter((F.col("at") <= prefix) & (F.col("df") > 1)).select("token", "rep")
+    posts = tokens.join(df, "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("at", F.row_number().over(rarest)).filter((F.col("at") <= prefix) & (F.col("df") > 1)).select("token", "rep", "n")
     posts = materialize(posts, "posts")
-    lists = materialize(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "posting-lists")
-    blocks = posts.join(lists, "token").withColumn("nb", F.ceil(F.col("c") / LIST_BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    # similar sets are of one size class or of neighbouring ones, so the blocks of a long list only meet those
+    level = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / min(percent, 99)))).cast("int")
+    levels = posts.withColumn("level", level).groupBy("token", "level").agg(F.count(F.lit(1)).alias("c"))
+    lists = levels.groupBy("token").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("level", F.ceil(F.col("c") / LIST_BLOCK).cast("int")))).alias("blocks"))
+    lists = materialize(lists.filter("c > 1"), "posting-lists")
+    listed = posts.join(lists, "token").withColumn("level", F.when(F.col("c") > LIST_BLOCK, level).otherwise(0))
+    listed = listed.withColumn("blocks", F.when(F.col("c") > LIST_BLOCK, F.col("blocks")).otherwise(F.create_map(F.lit(0), F.lit(1))))
+
+    def blocks_of(n):
+        return F.transform(F.sequence(F.lit(1), F.coalesce(F.try_element_at("blocks", n), F.lit(0))), lambda i: F.struct(n.alias("level"), i.alias("i")))
+
+    near = F.filter(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1), lambda n: F.try_element_at("blocks", n).isNotNull())
+    mine = F.struct("level", (F.pmod(F.xxhash64("rep"), F.try_element_at("blocks", F.col("level"))) + 1).cast("int").alias("i"))
     cells = (
-        blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .withColumn("cell", F.xxhash64("token", F.least("blk", "other"), F.greatest("blk", "other")))
-        .withColumn("side", F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1))
+        listed.withColumn("me", mine)
+        .withColumn("other", F.explode(F.flatten(F.transform(near, blocks_of))))
+        .withColumn("cell", F.xxhash64("token", F.least("me", "other"), F.greatest("me", "other")))
+        .withColumn("side", F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1))
         .select("rep", "cell", "side")
     )
     entries = cells.join(members.select("rep", "n", "m", "own", "bits"), "rep").withColumn("bucket", F.pmod("cell", F.lit(buckets)))
@@ -317,7 +334,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 3. components
     edges = group_links.unionByName(owners.select(F.col("owner").alias("a"), F.col("rep").alias("b")))
     roots = components(edges)
-    groups = materialize(classes.join(roots, classes.rep == roots.node, "left").select("digest", "copies", F.coalesce("root", "rep").alias("component_id")), "class-components")
+    rooted = materialize(classes.join(roots, classes.rep == roots.node, "left").select("digest", "copies", "first_doc", F.coalesce("root", "rep").alias("root")), "class-roots")
+    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    groups = materialize(attach_groups(rooted, materialize(smallest, "components"), "root", "classes").select("digest", "copies", "component_id"), "class-components")
     linked = attach_groups(rows.filter("n > 0"), groups, "digest", "copies").select("doc", "n", "component_id")
     alone = rows.filter("n = 0").select("doc", "n", F.col("doc").alias("component_id"))
     return linked.unionByName(alone).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

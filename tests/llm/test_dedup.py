@@ -5,6 +5,8 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 import fixtures as X  # noqa: E402
 
@@ -77,6 +79,23 @@ def test_ngram_join_of_hard_groups(spark, monkeypatch):
     assert got == X.components(rows)
 
 
+def test_ngram_join_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(6)
+    rows = X.documents(seed=5, n=100)
+    rows += [rows[i] for i in rng.sample(range(14, 100), 20)]  # repeated rows
+    rows += [(rows[i][0], rows[j][1]) for i, j in zip(range(20, 30), range(60, 70))]  # one id, two texts
+    rows += [(None, rows[i][1]) for i in range(30, 40)] + [(None, " ".join(f"q{k}" for k in range(40)))] * 3
+    truth = X.components(list(enumerate(t for _, t in rows)))
+    smallest = defaultdict(lambda: None)
+    for at, (i, _) in enumerate(rows):
+        root = truth[at][1]
+        smallest[root] = min((x for x in (smallest[root], i) if x is not None), default=None)
+    expected = Counter((i, truth[at][0], smallest[truth[at][1]] if truth[at][0] else i) for at, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, ngram_join.ngram_join(X.frame(spark, rows)).collect())) == expected
+    with pytest.raises(ValueError):
+        ngram_join.ngram_join(X.frame(spark, rows), percent=60)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
