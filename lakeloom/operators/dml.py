@@ -1,8 +1,9 @@
 """UPDATE, DELETE and MERGE as joins over immutable tables.
 
 Each returns the table's new rows as a frame and the counts of what changed.
-Targets are joined once with the source on the condition; equality conditions
-become sort-merge or broadcast joins by the optimizer's choice.
+Targets are joined once with the source on the bare condition, so its equalities
+become keys of sort-merge or broadcast joins by the optimizer's choice; a null
+condition is no match. Rows are numbered once, below that join.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.column import as_column
@@ -84,24 +85,27 @@ def update(target: DataFrame, assignments: dict[str, Any], condition: Any = None
         types = dict(target.dtypes)
         columns = [F.when(hit, new[c].cast(types[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns]
         return target.select(*columns, hit.alias("__changed")), F.col("__changed")
-    return _joined(target, source, condition, new, delete=False)
+    return _joined(target, source, condition, new)
 
 
 def delete(target: DataFrame, condition: Any = None, source: DataFrame | None = None) -> DataFrame:
     """The rows that stay."""
     if source is None:
         return target.filter(~_when(condition))
-    return target.join(source, _when(condition), "left_anti")
+    if condition is None:  # any source row will do
+        return target.join(source.limit(1), how="left_anti")
+    return target.join(source, as_column(condition), "left_anti")
 
 
-def _joined(target: DataFrame, source: DataFrame, condition: Any, new: dict[str, Column], delete: bool):
+def _joined(target: DataFrame, source: DataFrame, condition: Any, new: dict[str, Column]):
+    """One outer join; of the source rows that meet a target row one stays."""
     types = dict(target.dtypes)
-    numbered = target.withColumn("__row", F.monotonically_increasing_id())
-    hits = target.withColumn("__row", F.monotonically_increasing_id()).join(source, _when(condition)).select("__row", *[v.cast(types[c]).alias(f"__new_{c}") for c, v in new.items()])
-    once = hits.dropDuplicates(["__row"]).withColumn("__hit", F.lit(True))
-    rows = numbered.join(once, "__row", "left")
-    hit = F.coalesce("__hit", F.lit(False))
-    return rows.select(*[F.when(hit, F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns], hit.alias("__changed")), F.col("__changed")
+    t = target.withColumn("__row", F.monotonically_increasing_id())
+    s = source.withColumn("__src", F.lit(1))
+    both = t.join(s.limit(1), how="left") if condition is None else t.join(s, as_column(condition), "left")
+    hit = F.col("__src").isNotNull()
+    columns = [F.when(hit, new[c].cast(types[c])).otherwise(target[c]).alias(c) if c in new else target[c] for c in target.columns]
+    return both.select(*columns, hit.alias("__changed"), "__row").dropDuplicates(["__row"]).drop("__row"), F.col("__changed")
 
 
 def merge(target: DataFrame, source: DataFrame, condition: Any, clauses: list[Clause]) -> DataFrame:
@@ -115,7 +119,7 @@ def merge(target: DataFrame, source: DataFrame, condition: Any, clauses: list[Cl
     inserts = [c for c in clauses if c.kind == "insert"]
     t = target.withColumn("__row", F.monotonically_increasing_id())
     s = source.withColumn("__src", F.lit(1))
-    both = t.join(s, _when(condition), "full_outer")
+    both = t.join(s, as_column(condition), "full_outer")
     is_match = F.col("__row").isNotNull() & F.col("__src").isNotNull()
     action, taken = F.lit(None).cast("string"), F.lit(-1)
     for i, c in reversed(list(enumerate(matched_clauses))):
@@ -140,16 +144,11 @@ def merge(target: DataFrame, source: DataFrame, condition: Any, clauses: list[Cl
             new = _assigned(target, dict(zip(target.columns, c.assignments)) if isinstance(c.assignments, list) else c.assignments)
             value = F.when(put == i, new[name].cast(types[name]) if name in new else F.lit(None)).otherwise(value)
         columns.append(value.alias(name))
-    out = both.select(*columns, action.alias("__action"), F.col("__row"), only_source.alias("__new"))
-    out = out.filter(~F.col("__new") | (F.col("__action") == "I")).drop("__new")
-    per_row = out.filter("__row is not null").groupBy("__row").agg(F.count("__action").alias("n"), F.count(F.lit(1)).alias("m"))
-    several = per_row.filter("m > 1")
-    known = out.join(several.hint("shuffle_hash"), "__row", "left")
-    checked = F.when(F.col("n") > 1, F.raise_error(F.lit("several source rows change one target row"))).otherwise(F.col("__action"))
-    fine = known.withColumn("__action", checked.cast("string"))
-    # of a row that several source rows match without changing it, one copy stays
-    return fine.filter(F.col("m").isNull() | F.col("__action").isNotNull()).drop("n", "m", "__row").unionByName(_untouched(fine, target))
-
-
-def _untouched(fine: DataFrame, target: DataFrame) -> DataFrame:
-    return fine.filter(F.col("m").isNotNull() & (F.col("n") == 0)).dropDuplicates(["__row"]).drop("n", "m", "__row")
+    # rows of the source alone are keys of their own; a target row's copies meet under its number
+    key = F.coalesce("__row", -1 - F.monotonically_increasing_id())
+    out = both.select(*columns, action.alias("__action"), key.alias("__row")).filter((F.col("__row") >= 0) | (F.col("__action") == "I"))
+    copies = Window.partitionBy("__row")
+    out = out.withColumn("__n", F.count("__action").over(copies)).withColumn("__nth", F.row_number().over(copies.orderBy(F.col("__action").isNull())))
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.lit("several source rows change one target row"))).otherwise(F.col("__action"))
+    # of a row that several source rows match, one copy stays: the changed one if there is one
+    return out.withColumn("__action", checked.cast("string")).filter("__nth = 1").drop("__n", "__nth", "__row")

@@ -203,3 +203,39 @@ def test_stream_of_windows(session, spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[2] for r in spark.sql("SELECT * FROM stream_out").collect()] == [2]
+
+
+def test_changes_from_a_source_are_equi_joins(spark):
+    from lakeloom.operators import dml
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        target = spark.createDataFrame([(1, 10), (2, 20), (None, 30)], "k int, v int")
+        source = spark.createDataFrame([(1, 5), (1, 5), (3, 7)], "k2 int, w int")
+        met = target.k == source.k2
+        updated = dml.update(target, {"v": source.w}, met, source)[0]
+        deleted = dml.delete(target, met, source)
+        merged = dml.merge(target, source.distinct(), target.k == source.k2, [dml.WhenMatched().update({"v": source.w}), dml.WhenNotMatched().insert({"k": source.k2, "v": source.w})])
+        for frame in (updated, deleted, merged):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+        key = lambda r: str(r)
+        assert sorted(map(tuple, updated.collect()), key=key) == sorted([(1, 5, True), (2, 20, False), (None, 30, False)], key=key)
+        assert sorted(map(tuple, deleted.collect()), key=key) == sorted([(2, 20), (None, 30)], key=key)
+        assert sorted(map(tuple, merged.collect()), key=key) == sorted([(1, 5, "U"), (2, 20, None), (None, 30, None), (3, 7, "I")], key=key)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_changed_tables_keep_their_partitions(spark):
+    from lakeloom.table import Table
+
+    spark.sql("CREATE TABLE parted (v INT, p STRING) USING parquet PARTITIONED BY (p) TBLPROPERTIES ('note' = 'kept')")
+    spark.sql("INSERT INTO parted VALUES (1, 'a'), (2, 'b'), (3, 'b')")
+    table = Table(spark, "parted")
+    assert table.update({"v": table["v"] + 10}, table["p"] == "b").rows_updated == 2
+    assert table.delete(table["v"] == 1).rows_deleted == 1
+    assert sorted(map(tuple, spark.table("parted").collect())) == [(12, "b"), (13, "b")]
+    told = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED parted").collect()}
+    assert "# Partition Information" in told and "note=kept" in told["Table Properties"]
+    spark.sql("DROP TABLE parted")
