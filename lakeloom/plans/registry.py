@@ -38,4 +38,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lakeloom.plans import functions_queries, more_queries, relational, tpch  # noqa: E402,F401
+from lakeloom.plans import function_batches, functions_queries, more_queries, relational, tpch  # noqa: E402,F401
