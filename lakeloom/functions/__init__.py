@@ -24,9 +24,9 @@ ALIASES = {
     "bitshiftright": "shiftright", "bitshiftright_unsigned": "shiftrightunsigned", "bitxor_agg": "bit_xor", "booland_agg": "bool_and", "boolor_agg": "bool_or",
     "builtin": "call_function", "call_builtin": "call_function", "column": "col", "corr_samp": "corr", "countDistinct": "count_distinct", "current_database": "current_catalog",
     "current_version": "version", "daydiff": "datediff", "getdate": "current_timestamp", "hash": "xxhash64", "hex_decode_binary": "unhex", "interval_day_time_from_parts": "make_dt_interval",
-    "interval_year_month_from_parts": "make_ym_interval", "is_null": "isnull", "is_null_value": "is_variant_null", "json_extract_path_text": "get_json_object", "localtime": "current_time",
-    "map_size": "size", "mean": "avg", "object_keys": "map_keys", "percentile_cont": "percentile", "regexp_substr_all": "regexp_extract_all", "sign": "signum", "sql_expr": "expr",
-    "stddev": "stddev_samp", "systimestamp": "current_timestamp", "time_from_parts": "make_time", "timestamp_from_parts": "make_timestamp_ntz", "timestamp_ltz_from_parts": "make_timestamp_ltz",
+    "interval_year_month_from_parts": "make_ym_interval", "is_null": "isnull", "is_null_value": "is_variant_null", "localtime": "current_time",
+    "map_size": "size", "mean": "avg", "object_keys": "map_keys", "percentile_cont": "percentile", "sign": "signum", "sql_expr": "expr",
+    "stddev": "stddev_samp", "systimestamp": "current_timestamp", "timestamp_from_parts": "make_timestamp_ntz", "timestamp_ltz_from_parts": "make_timestamp_ltz",
     "timestamp_ntz_from_parts": "make_timestamp_ntz", "uuid_string": "uuid", "variance": "var_samp", "greatest_ignore_nulls": "greatest", "least_ignore_nulls": "least",
     "array_agg_distinct": "collect_set", "pandas_udtf": "udtf", "vectorized": "pandas_udf",
 }

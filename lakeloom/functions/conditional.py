@@ -95,8 +95,17 @@ def iff(condition: Any, yes: Any, no: Any) -> Col:
 
 
 def in_(columns: list[Any], *values: Any) -> Col:
-    """Membership of a tuple of columns in a list of tuples."""
-    return Col(F.struct(*[named(c) for c in columns])).in_(*values)
+    """Membership of a tuple of columns in a list of tuples, or in the rows of a frame."""
+    rows = values[0] if len(values) == 1 and isinstance(values[0], (list, tuple)) else values
+    if not all(isinstance(row, (list, tuple)) for row in rows):
+        return Col(F.struct(*[named(c) for c in columns])).in_(*values)
+    equal = F.lit(False)
+    for row in rows:
+        same = F.lit(True)
+        for c, v in zip(columns, row, strict=True):
+            same = same & (named(c) == as_column(v))
+        equal = equal | same
+    return Col(equal)
 
 
 @over_columns

@@ -6,7 +6,7 @@ from lakeloom.functions.base import Any, Col, F, as_column, named, over_columns,
 
 __all__ = [
     "add_months", "convert_timezone", "current_time", "date_add", "date_format", "date_from_parts", "date_part", "date_sub", "date_trunc", "dateadd", "datediff", "dayname", "dayofweek", "last_day", "make_interval", "monthname", "next_day",
-    "previous_day", "sysdate", "time_slice", "timestamp_tz_from_parts", "to_date", "to_time", "to_timestamp", "to_timestamp_ntz", "to_timestamp_ltz", "to_timestamp_tz",
+    "previous_day", "sysdate", "time_from_parts", "time_slice", "timestamp_tz_from_parts", "to_date", "to_time", "to_timestamp", "to_timestamp_ntz", "to_timestamp_ltz", "to_timestamp_tz",
 ]
 
 #: Tokens of date formats and their Java patterns, longest first (fixed values).
@@ -188,6 +188,12 @@ def to_date(c: Any, pattern: str | None = None) -> Col:
     return Col(F.to_date(named(c)) if pattern is None or pattern.upper() == "AUTO" else F.to_date(named(c), java_format(pattern)))
 
 
+def time_from_parts(h: Any, mi: Any, s: Any, nanos: Any = 0) -> Col:
+    """The time of day as text ``HH:mm:ss``, like :func:`to_time`; fractions of a second are cut."""
+    h, mi, s = (as_column(x) for x in (h, mi, s))
+    return Col(F.date_format(F.timestamp_seconds(((h * 60 + mi) * 60 + s) % 86400), "HH:mm:ss"))
+
+
 def to_time(c: Any, pattern: str = "HH24:MI:SS") -> Col:
     """The time of day as text ``HH:mm:ss``."""
     return Col(F.date_format(F.to_timestamp(named(c).cast("string"), java_format(pattern)), "HH:mm:ss"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.functions.base import Any, Col, F, named, over_columns
+from lakeloom.functions.base import Any, Col, F, as_column, named, over_columns
 
 __all__ = ["bitand", "bitor", "bitxor", "ceil", "floor", "haversine", "log", "mod", "normal", "random", "seq1", "seq2", "seq4", "seq8", "square", "trunc", "truncate", "uniform", "vector_cosine_distance", "vector_inner_product", "vector_l1_distance", "vector_l2_distance"]
 
@@ -64,8 +64,12 @@ def random(seed: int | None = None) -> Col:
 
 
 def uniform(low: Any, high: Any, generator: Any = None) -> Col:
-    """Uniform numbers from ``low`` to ``high``; whole numbers if both are."""
+    """Uniform numbers from ``low`` to ``high``; whole numbers if both are. Bounds in columns give fractions only if one is one."""
     share = F.rand(generator if isinstance(generator, int) else None)
+    if isinstance(low, Col) or isinstance(high, Col):
+        low, high = as_column(low), as_column(high)
+        whole = F.typeof(low).isin("tinyint", "smallint", "int", "bigint") & F.typeof(high).isin("tinyint", "smallint", "int", "bigint")
+        return Col(F.when(whole, F.floor(share * (high - low + 1)) + low).otherwise(share * (high - low) + low))
     if isinstance(low, int) and isinstance(high, int):
         return Col((F.floor(share * (high - low + 1)) + low).cast("long"))
     return Col(share * (high - low) + low)

@@ -19,7 +19,7 @@ __all__ = [
     "array_append", "array_compact", "array_construct_compact", "array_contains", "array_except", "array_generate_range", "array_insert", "array_intersection", "array_join", "array_position", "array_prepend", "array_remove", "array_remove_at", "array_size",
     "array_slice", "array_sort", "array_to_string", "array_union", "arrays_to_object", "as_decimal", "as_number", "check_json", "check_xml", "element_at", "get", "get_ignore_case", "get_path", "map_cat", "map_contains_key", "map_delete",
     "map_insert", "map_pick", "object_construct", "object_construct_keep_null", "object_delete", "object_insert", "object_pick", "parse_json", "parse_xml", "sort_array", "strip_null_value", "to_array", "to_boolean", "to_char", "to_decimal", "to_double",
-    "to_object", "to_varchar", "to_variant", "try_cast", "cast", "try_parse_json", "typeof", "xmlget", "get_json_object", *(f"as_{k}" for k in _VARIANT), *(f"is_{k}" for k in _KINDS),
+    "to_object", "to_varchar", "to_variant", "try_cast", "cast", "try_parse_json", "typeof", "xmlget", "get_json_object", "json_extract_path_text", *(f"as_{k}" for k in _VARIANT), *(f"is_{k}" for k in _KINDS),
 ]
 
 
@@ -180,6 +180,13 @@ def get(a: Any, key: Any) -> Col:
 element_at = get
 
 
+def json_extract_path_text(c: Any, path: Any) -> Col:
+    """The value at a path (text or a column, such as ``a.b[0]``) of JSON text, as text."""
+    path = as_column(path)
+    rooted = F.when(path.startswith("$"), path).when(path.startswith("["), F.concat(F.lit("$"), path)).otherwise(F.concat(F.lit("$."), path))
+    return Col(F.call_function("get_json_object", named(c), rooted))
+
+
 def get_ignore_case(m: Any, key: str) -> Col:
     """Value of the key, else of the first one that differs in case only."""
     m = named(m)

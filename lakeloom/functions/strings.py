@@ -11,7 +11,7 @@ from lakeloom.functions.base import Any, Col, F, any_null, as_column, named, ove
 
 __all__ = [
     "base64_decode_string", "base64_encode", "char", "charindex", "chr", "compress", "concat_ws", "decompress_binary", "decompress_string", "editdistance", "hex_decode_string", "hex_encode", "initcap",
-    "insert", "jarowinkler_similarity", "md5_binary", "md5_number_lower64", "md5_number_upper64", "parse_url", "regexp_count", "regexp_extract", "regexp_instr", "regexp_like", "regexp_replace", "regexp_substr",
+    "insert", "jarowinkler_similarity", "md5_binary", "md5_number_lower64", "md5_number_upper64", "parse_url", "regexp_count", "regexp_extract", "regexp_instr", "regexp_like", "regexp_replace", "regexp_substr", "regexp_substr_all",
     "replace", "rtrimmed_length", "sha1_binary", "sha2", "sha2_binary", "soundex_p123", "space", "split", "split_part", "strtok", "strtok_to_array", "substr", "substring", "try_base64_decode_binary",
     "try_base64_decode_string", "try_hex_decode_binary", "try_hex_decode_string", "unicode", "left", "right", "lpad", "rpad", "trim", "ltrim", "rtrim", "contains", "startswith", "endswith", "repeat", "translate", "position", "locate",
 ]
@@ -319,6 +319,12 @@ def regexp_substr(c: Any, pattern: Any, place: Any = 1, occurrence: int = 1, par
     return Col(F.get(all_matches, F.lit(occurrence - 1)))
 
 
+def regexp_substr_all(c: Any, pattern: Any, place: Any = 1, occurrence: int = 1, parameters: str = "", group: int | None = None) -> Col:
+    """All matches from the ``occurrence``-th on; whole ones unless a group is named."""
+    all_matches = F.regexp_extract_all(_from(c, place), _pattern(pattern, parameters), F.lit(group or (1 if "e" in parameters else 0)))
+    return Col(F.slice(all_matches, occurrence, F.greatest(F.size(all_matches), F.lit(1))))
+
+
 def regexp_instr(c: Any, pattern: Any, place: int = 1, occurrence: int = 1, after: int = 0, parameters: str = "") -> Col:
     """Place from 1 of the ``occurrence``-th match (with ``after``, of what follows it); 0 if there is none."""
     column, found = _from(c, place), _pattern(pattern, parameters)
@@ -363,8 +369,12 @@ def split_part(c: Any, separator: Any, part: Any) -> Col:
 
 
 def strtok_to_array(c: Any, delimiters: Any = " ") -> Col:
-    """Parts between any of the delimiter characters, without empty ones."""
-    apart = "[" + re.escape(spark(delimiters)) + "]"
+    """Parts between any of the delimiter characters (text or a column), without empty ones."""
+    delimiters = spark(delimiters)
+    if isinstance(delimiters, str):
+        apart = F.lit("[" + re.escape(delimiters) + "]")
+    else:
+        apart = F.concat(F.lit("["), F.regexp_replace(delimiters, r"([\\\[\]^&-])", r"\\$1"), F.lit("]"))
     return Col(F.filter(F.split(named(c), apart, -1), lambda x: x != ""))
 
 

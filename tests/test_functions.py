@@ -30,6 +30,8 @@ CASES = [
     (lambda: L.haversine(lit(40.7127), lit(-74.0059), lit(34.0500), lit(-118.2500)), pytest.approx(3936.4, abs=1)), (lambda: L.datediff("month", lit("2023-01-31").cast("timestamp_ntz"), "t"), 13), (lambda: L.datediff("hour", lit("2024-02-29 12:59:59").cast("timestamp_ntz"), "t"), 1), (lambda: L.datediff("week", lit("2024-02-25").cast("date"), "t"), 1),
     (lambda: L.add_months("t", 1), datetime.date(2024, 3, 31)), (lambda: L.date_from_parts(lit(2024), lit(13), lit(0)), datetime.date(2024, 12, 31)), (lambda: L.previous_day("t", "thu"), datetime.date(2024, 2, 22)), (lambda: L.dayofweek("t"), 4), (lambda: L.date_format("t", "YYYY-MM-DD HH24:MI"), "2024-02-29 13:45"), (lambda: L.last_day("t", "quarter"), datetime.date(2024, 3, 31)),
     (lambda: L.time_slice("t", 15, "minute"), datetime.datetime(2024, 2, 29, 13, 45)), (lambda: L.st_distance(L.st_makepoint(lit(0), lit(0)), L.st_makepoint(lit(0), lit(1))), pytest.approx(111195, abs=5)), (lambda: L.st_contains(lit("POLYGON((0 0,4 0,4 4,0 4,0 0))"), lit("POINT(1 1)")), True), (lambda: L.st_x(lit("POINT(3 4)")), 3.0), (lambda: L.st_geohash(lit("POINT(-122.3061 37.5542)"), 6), "9q9j8u"),
+    (lambda: L.regexp_substr_all("s", "[an]+"), ["a", "anana"]), (lambda: L.regexp_substr_all("s", "[an]+", 1, 2), ["anana"]), (lambda: L.json_extract_path_text(lit('{"a": {"b": [7]}}'), "a.b[0]"), "7"), (lambda: L.json_extract_path_text(lit('{"a": 5}'), lit("a")), "5"),
+    (lambda: L.strtok("s", lit(" p"), 2), "le"), (lambda: L.strtok_to_array(lit("a-b]c"), lit("-]")), ["a", "b", "c"]), (lambda: L.in_(["i", "j"], [[1, 2], [15, 26]]), True), (lambda: L.in_(["i", "j"], [[26, 15]]), False), (lambda: L.uniform(lit(3), lit(3)), 3), (lambda: L.time_from_parts(lit(1), lit(2), lit(3)), "01:02:03"),
     (lambda: L.fl_get_file_type(lit("a/b.PNG")), "image"), (lambda: L.prompt("hi {0}", "i"), "hi 15"), (lambda: L.vector_cosine_distance(L.array(lit(1.0), lit(0.0)), L.array(lit(1.0), lit(0.0))), 1.0), (lambda: L.split_text_recursive_character("s", 6), ["apple", "banana"]),
 ]
 
