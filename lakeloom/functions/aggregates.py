@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from lakeloom.column import Collected, Order
 from lakeloom.functions.base import Any, Col, F, named, over_columns
 
@@ -52,17 +54,21 @@ def percentile_disc(fraction: float) -> Col:
 
 @over_columns
 def approx_percentile_accumulate(column):
-    """A mergeable quantile sketch of the values."""
-    return F.kll_sketch_agg_double(column.cast("double"))
+    """A mergeable state for percentiles: the group's values in order, so a group must fit a task and nothing is lost."""
+    return F.sort_array(F.collect_list(column.cast("double")))
 
 
 @over_columns
 def approx_percentile_combine(state):
-    return F.kll_merge_agg_double(state)
+    return F.sort_array(F.flatten(F.collect_list(state)))
 
 
 def approx_percentile_estimate(state: Any, fraction: float) -> Col:
-    return Col(F.kll_sketch_get_quantile_double(named(state), F.lit(float(fraction))))
+    """The first value at which the share of values reaches the fraction; null without values."""
+    rows = named(state)
+    # in decimals, as 0.07 * 100 is above 7 in doubles
+    place = F.ceil(F.size(rows) * F.lit(Decimal(repr(float(fraction))))).cast("int")
+    return Col(F.try_element_at(rows, F.greatest(F.lit(1), place)))
 
 
 @over_columns

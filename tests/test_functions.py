@@ -40,3 +40,16 @@ CASES = [
 def test_function(one, n):
     make, expected = CASES[n]
     assert value(one, make()) == expected
+
+
+def test_percentiles_of_combined_states_are_exact(spark):
+    """More values than a sketch of the default size holds, in states of unequal sizes, one of them empty."""
+    values = [(k * 7919) % 3001 / 4 for k in range(3001)]
+    rows = [(k % 7 * (k % 3), v) for k, v in enumerate(values)] + [(99, None)]
+    states = Session(spark).create_dataframe(rows, "g int, v double").group_by("g").agg(L.approx_percentile_accumulate("v").as_("state"))
+    shares = [0.0, 0.07, 0.25, 0.5, 0.999, 1.0]
+    whole = states.agg(L.approx_percentile_combine("state").as_("state")).select(*[L.approx_percentile_estimate("state", f).as_(f"p{i}") for i, f in enumerate(shares)])
+    assert list(whole.collect()[0]) == [0.0, 52.5, 187.5, 375.0, 749.25, 750.0]
+    assert states.filter(col("g") == 99).select(L.approx_percentile_estimate("state", 0.5).as_("p")).collect()[0][0] is None
+    hundred = Session(spark).create_dataframe([(float(k),) for k in range(1, 101)], "v double").agg(L.approx_percentile_accumulate("v").as_("state"))
+    assert hundred.select(L.approx_percentile_estimate("state", 0.07).as_("p")).collect()[0][0] == 7.0
