@@ -9,9 +9,10 @@ The work goes in three parts, none of which lists the pairs of a group.
    reach the similarity. In the order "uncommon low shingles by hash, then all
    others", two similar sets share a shingle of their prefixes, so a class
    whose prefix consists of uncommon low shingles finds all its partners here.
-2. *Token groups.* The other classes are held apart. They are linked to leaders
-   (smallest of those with an equal minimum hash), which are verified, and the
-   components of all links so far are groups of similar documents. Among them shingles are counted by groups;
+2. *Token groups.* The other classes are held apart. Those with an equal minimum
+   hash are verified against hubs, the sets that hold most of what the others
+   hold; the components of all links so far are groups of similar documents, and
+   no pair within one is looked at again. Among them shingles are counted by groups;
    rarest first, prefixes are posted by shingle. A posting list is cut into
    groups of documents alike in size, each with the union of its members'
    token bits, and a document opens only the groups whose union can hold enough
@@ -40,8 +41,8 @@ from lakeloom.llm.shingles import mix, text_shingles
 REGION = 0.34
 #: Classes that may hold a shingle of part 1 before it counts as common.
 RARE = 16
-#: Minimum hashes by which leaders are found.
-MINIMA = 4
+#: Minimum hashes by which classes meet hubs, hubs of a cell, tokens of a cell, and rounds in which hubs of a cell cut into several meet.
+MINIMA, HUBS, HUB_TOKENS, HUB_ROUNDS = 4, 64, 1_000_000, 3
 #: Bits of a document's token row, and documents of a token group.
 BITS, GROUP = 4096, 64
 #: Documents that are compared with a token group at once.
@@ -110,7 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
                     continue
                 digest = hashlib.md5(s.tobytes(), usedforsecurity=False).digest()
                 k = int.from_bytes(digest[:8], "little", signed=True)
-                low = s[: np.searchsorted(s, _LOW)]
+                low = s[: np.searchsorted(s, _LOW)].copy()  # a view would hold the whole set
                 minima = [int(v) for v in mix(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64)]
                 docs.append((doc, row, len(s), digest, k, len(low), minima))
                 if k not in posted:
@@ -199,6 +200,50 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _hub_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the cells in one bucket to hubs, verified on whole sets; one for each row at most, and those between hubs' groups.
+
+    The next hub is the row without a link whose tokens most rows of the cell
+    hold. Pairs that this leaves out are left to the token groups.
+    """
+    cell, rep = table.column("cell").to_numpy(), table.column("rep").to_numpy()
+    order = np.lexsort((rep, cell))
+    table, cell, rep = table.take(pa.array(order)), cell[order], rep[order]
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    hubs, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start, end in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
+        if end - start < 2:
+            continue
+        sets = [x.values.to_numpy() for x in table.column("tokens").slice(start, end - start)]
+        n = np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(n)])
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        central = np.add.reduceat(np.bincount(place)[place], at[:-1]) / n
+        hub_of = np.full(len(n), -1)
+        tried = 0
+        for hub in np.argsort(-central, kind="stable").tolist():
+            if hub_of[hub] >= 0:
+                continue
+            if tried == HUBS:
+                break
+            tried += 1
+            held = np.zeros(len(values), np.int64)
+            held[place[at[hub] : at[hub + 1]]] = 1
+            overlap = np.add.reduceat(held[place], at[:-1])
+            linked = 100 * overlap >= percent * (n + n[hub] - overlap)
+            linked[hub] = False
+            fresh, known = np.flatnonzero(linked & (hub_of < 0)), np.flatnonzero(linked & (hub_of >= 0))
+            known = known[np.unique(hub_of[known], return_index=True)[1]]
+            hub_of[fresh] = hub
+            if len(fresh) or len(known):
+                hub_of[hub] = hub
+            both = np.concatenate([fresh, known]) + start
+            hubs.append(np.full(len(both), rep[start + hub]))
+            others.append(rep[both])
+    hubs, others = np.concatenate(hubs), np.concatenate(others)
+    return pa.table([pa.array(hubs), pa.array(others)], names=["a", "b"])
+
+
 def _open_groups(table: pa.Table, percent: int) -> pa.Table:
     """Token-group matrices of the posting lists (or blocks of two) in one bucket: pairs that may be similar."""
     cell = table.column("cell").to_numpy()
@@ -245,6 +290,27 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
 
+def _linked_to_hubs(held: DataFrame, sets: DataFrame, percent: int, buckets: int) -> list[DataFrame]:
+    """Tables of links between classes with an equal minimum hash and hubs among them.
+
+    The rows of one minimum hash are a cell. A cell of many tokens is cut into
+    several, and hubs that found a link in a part meet those of the other parts.
+    """
+    rows = held.select("rep", "n", F.posexplode("minima").alias("j", "m"))
+    out = []
+    for _ in range(HUB_ROUNDS):
+        cells = rows.groupBy("j", "m").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.sum("n") / HUB_TOKENS).alias("parts")).filter("c > 1").drop("c")
+        placed = rows.join(cells, ["j", "m"]).withColumn("cell", F.xxhash64("j", "m", F.pmod(F.xxhash64("rep"), "parts")))
+        placed = materialize(placed.select("rep", "n", "j", "m", "cell", "parts"), "hub-cells")
+        entries = placed.select("rep", "cell").join(sets.select("rep", "tokens"), "rep").withColumn("bucket", F.pmod("cell", F.lit(buckets)))
+        out.append(materialize(entries.groupBy("bucket").applyInArrow(lambda t: _hub_links(t, percent), "a long, b long"), "links-hubs"))
+        cut = placed.filter("parts > 1")
+        if cut.isEmpty():
+            break
+        rows = cut.select("rep", "n", "j", "m").join(out[-1].select(F.col("a").alias("rep")).distinct(), "rep", "left_semi")
+    return out
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """Link documents whose sets of ``size``-word shingles have a Jaccard similarity of ``percent``/100 or more.
 
@@ -290,15 +356,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = materialize(known.filter(F.col("n") - F.col("rest") < prefix).select("rep", "n", "minima"), "held-apart")
 
     # 2. token groups
-    minima = held.select("rep", F.posexplode("minima").alias("j", "m"))
-    leaders = materialize(minima.groupBy("j", "m").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("j", "m", "leader"), "leaders")
-    stars = materialize(minima.join(leaders, ["j", "m"]).filter("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "leader-pairs")
     need = held.select("rep").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = texts.select("row", "text").join(need.hint("merge"), texts.row == need.rep, "left_semi").groupBy("row").agg(F.first("text").alias("text"))
     sets = materialize(wanted.mapInArrow(lambda it: _token_sets(it, size), "rep long, tokens array<long>, bits binary"), "token-sets")
     links = materialize(_similar(pairs, sets, percent), "links-rare")
-    star_links = materialize(_similar(stars, sets, percent), "links-leaders")
-    owners = components(links.unionByName(star_links)).select(F.col("node").alias("rep"), F.col("root").alias("owner"))
+    for hub_links in _linked_to_hubs(held, sets, percent, buckets):
+        links = links.unionByName(hub_links)
+    owners = components(links).select(F.col("node").alias("rep"), F.col("root").alias("owner"))
     members = materialize(
         held.join(sets, "rep").join(owners, "rep", "left").select("rep", "n", F.element_at("minima", 1).alias("m"), F.coalesce("owner", "rep").alias("own"), "tokens", "bits"), "group-members"
     )

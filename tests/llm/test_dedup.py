@@ -11,6 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import fixtures as X  # noqa: E402
 
 from lakeloom.llm import exact_dedup, line_dedup, ngram_join, quality  # noqa: E402
+from lakeloom.llm.common import materialize  # noqa: E402
 from lakeloom.llm.components import components  # noqa: E402
 
 DOCS = X.documents()
@@ -79,6 +80,44 @@ def test_ngram_join_of_hard_groups(spark, monkeypatch):
     assert got == X.components(rows)
 
 
+def near_copies(n, seed=8):
+    """A text in many versions; some pairs are similar and many are not."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 3, 3, 6, 12])):
+            w[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 3 + 1, " ".join(w)))
+    return rows
+
+
+def test_ngram_join_opens_no_pairs_within_a_large_group(spark, monkeypatch):
+    opened = []
+
+    def watch(df, name, by=None):
+        out = materialize(df, name, by)
+        if name == "opened-pairs":
+            opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", watch)
+    rows = near_copies(400)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(X.frame(spark, rows)).collect()}
+    assert got == X.components(rows)
+    # every pair of similar ones would be some ten thousand
+    assert opened[0] < len(rows)
+
+
+def test_ngram_join_of_cut_hub_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUB_TOKENS", 3000)
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
+    rows = near_copies(120, seed=9) + [(i + 5000, t) for i, t in X.documents(seed=10, n=60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(X.frame(spark, rows)).collect()}
+    assert got == X.components(rows)
+
+
 def test_ngram_join_of_repeated_rows_and_null_ids(spark):
     rng = random.Random(6)
     rows = X.documents(seed=5, n=100)
