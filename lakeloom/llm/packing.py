@@ -29,6 +29,10 @@ from lakeloom.llm.units import PATTERN, splittable, unit_keys, unit_text
 CACHE = 600_000
 #: Characters whose class no version of Unicode's tables disputes.
 PLAIN = re.compile("[\\x00-\\u024f]*")
+#: White space in a row, by a class that holds all that the pattern's does.
+DOUBLE = re.compile(r"\s\s")
+#: The pattern for texts without white space in a row: its look-ahead, which only matters there, makes matching slow.
+SINGLE_PATTERN = PATTERN.replace(r"\s+(?!\S)|", "")
 
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
@@ -56,9 +60,10 @@ def merge_ranks(config: dict) -> dict[bytes, int] | None:
 def cached_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids by the ``tokenizers`` file at ``path``, without added special tokens.
 
-    A unit is encoded once for each worker as long as its cache holds it, by
-    the faster of two libraries if the file's ids are merge ranks, for which
-    both give the same. Texts that name an added token or have an unsafe space
+    If the file's ids are merge ranks, for which both give the same, the faster
+    of two libraries is used: for plain texts without white space in a row on the
+    whole text, for others on units, each of which is encoded once for each
+    worker as long as its cache holds it. Texts that name an added token or have an unsafe space
     go through the file's own tokenizer whole, and so do all texts of other
     kinds of tokenizers.
     """
@@ -70,7 +75,7 @@ def cached_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     tokenizer = Tokenizer.from_file(path)
     ranks = merge_ranks(json.loads(tokenizer.to_str()))
-    fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast, single = (ranks and tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE_PATTERN))
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     units: dict[str, bytes] = {}
 
@@ -78,6 +83,11 @@ def cached_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
+        whole = [bool(single) and DOUBLE.search(t) is None and PLAIN.fullmatch(t) is not None and not any(a in t for a in added) for t in texts]
+        rest = iter(by_units([t for t, w in zip(texts, whole) if not w]))
+        return [array("I", single(t)).tobytes() if w else next(rest) for t, w in zip(texts, whole)]
+
+    def by_units(texts: list[str]) -> list[bytes]:
         if len(units) > CACHE:
             units.clear()
         keyed = [unit_keys(t) if fast and splittable(t) and not any(a in t for a in added) else None for t in texts]

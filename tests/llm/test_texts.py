@@ -185,6 +185,29 @@ def test_units_never_change_ids():
         assert all(split.fullmatch(x.decode()) for x in known)  # what travels are pre-tokens
 
 
+def test_plain_texts_are_encoded_whole(monkeypatch):
+    """One call of the library for each text, not one for each of its words; the ids stay those of the file's tokenizer."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    calls = []
+    encode_ordinary = tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or encode_ordinary(self, text))
+    monkeypatch.setattr(packing, "_encoders", {})
+    encode = packing.cached_encoder(P.path("byte_bpe_50k.json"))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(7)
+    parts = ["a", "zq", "ab,", "'s", "'LL", "'ll", "12", "é", "ßÿ", "!", "(-", "_", "\u01c5", "\u00aa", "\u00b2", "\0", "\x1b"]
+    texts = []
+    for _ in range(2000):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 20))]
+        gaps = [rng.choice("    \n\t\r\x0b\x85\xa0\x1c") for _ in words]
+        texts.append(rng.choice(["", " ", "\n"]) + "".join(w + g for w, g in zip(words, gaps))[: rng.choice([None, -1])])
+    for text, ids in zip(texts, encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert calls == texts
+
+
 def test_byte_bpe_round_trip(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     bpe, ranks, _ = byte_bpe.encoding(path, P.PATTERN)
