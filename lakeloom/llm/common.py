@@ -90,6 +90,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def in_buckets(rows: DataFrame, buckets: int, by: str = "bucket"):
+    """``rows`` grouped by ``by`` (integers from 0 to ``buckets`` - 1), each bucket in a task of its own.
+
+    Dealt by hash, several buckets meet in one task, which then fetches and
+    sorts all of them.
+    """
+    return rows.withColumn(by, F.col(by).cast("int")).repartitionById(buckets, by).groupBy(by)
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str, parts: int = 1024) -> DataFrame:
     """Join ``groups`` (one row per key, ``size_col`` rows of ``rows`` each) to ``rows`` by ``key``.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import attach_groups, discard, materialize, partitions, small_batches
+from lakeloom.llm.common import attach_groups, discard, in_buckets, materialize, partitions, small_batches
 from lakeloom.llm.components import components
 from lakeloom.llm.shingles import mix, text_shingles
 
@@ -72,8 +72,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         nonlocal gathered
         keys = np.repeat(np.array(list(posted), np.int64), [len(v) for v in posted.values()])
         tokens = np.concatenate([*posted.values(), np.zeros(0, np.uint64)])
+        posted.clear()
         order = np.argsort(tokens, kind="stable")
         tokens, keys = tokens[order], keys[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
         held = np.diff(np.append(first, len(tokens)))
         common = np.repeat(held > RARE, held)
@@ -87,11 +89,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         # of a common shingle, only that it is one
         keep = ~common
         keep[first] = True
-        keys = np.where(common, _NOBODY, keys)[keep]
-        tokens = tokens[keep]
+        keys[common] = _NOBODY
+        keys, tokens = keys[keep], tokens[keep]
+        del common, keep, first, held
         where = (tokens % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(where, kind="stable")
         where, tokens, keys = where[order], tokens[order], keys[order]
+        del order
         cuts = np.searchsorted(where, np.arange(buckets + 1))
         for b in range(buckets):
             x, y = cuts[b], cuts[b + 1]
@@ -99,7 +103,6 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
                 row = [[1], *[[None]] * 7, [b], [tokens[x:y].tobytes()], [keys[x:y].tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
         docs.clear()
-        posted.clear()
         gathered = 0
 
     for batch in batches:
@@ -303,7 +306,7 @@ def _linked_to_hubs(held: DataFrame, sets: DataFrame, percent: int, buckets: int
         placed = rows.join(cells, ["j", "m"]).withColumn("cell", F.xxhash64("j", "m", F.pmod(F.xxhash64("rep"), "parts")))
         placed = materialize(placed.select("rep", "n", "j", "m", "cell", "parts"), "hub-cells")
         entries = placed.select("rep", "cell").join(sets.select("rep", "tokens"), "rep").withColumn("bucket", F.pmod("cell", F.lit(buckets)))
-        out.append(materialize(entries.groupBy("bucket").applyInArrow(lambda t: _hub_links(t, percent), "a long, b long"), "links-hubs"))
+        out.append(materialize(in_buckets(entries, buckets).applyInArrow(lambda t: _hub_links(t, percent), "a long, b long"), "links-hubs"))
         cut = placed.filter("parts > 1")
         if cut.isEmpty():
             break
@@ -339,8 +342,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
     # 1. rare shingles
-    posted = sketch.filter("kind = 1").groupBy("bucket").applyInArrow(lambda t: _posted_pairs(t, buckets), "dest int, kind int, rows binary")
-    found = materialize(posted.groupBy("dest").applyInArrow(_gathered, "a long, b long, n long"), "shingle-pairs")
+    posted = in_buckets(sketch.filter("kind = 1"), buckets).applyInArrow(lambda t: _posted_pairs(t, buckets), "dest int, kind int, rows binary")
+    found = materialize(in_buckets(posted, buckets, "dest").applyInArrow(_gathered, "a long, b long, n long"), "shingle-pairs")
     rows = materialize(rows, "shingle-rows")
     discard(sketch)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -392,7 +395,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("rep", "cell", "side")
     )
     entries = cells.join(members.select("rep", "n", "m", "own", "bits"), "rep").withColumn("bucket", F.pmod("cell", F.lit(buckets)))
-    opened = entries.groupBy("bucket").applyInArrow(lambda t: _open_groups(t, percent), "a long, b long").distinct()
+    opened = in_buckets(entries, buckets).applyInArrow(lambda t: _open_groups(t, percent), "a long, b long").distinct()
     group_links = _similar(materialize(opened, "opened-pairs"), sets, percent)
 
     # 3. components

@@ -12,6 +12,8 @@ _BYTES = np.arange(256)
 #: What a byte counts in a hash, A-Z as a-z, and whether it is part of a word.
 _VALUES = (_BYTES + np.where((_BYTES >= 65) & (_BYTES <= 90), 33, 1)).astype(np.uint64)
 _BLACK = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
+#: Bytes of texts that are hashed at once (a longer text is hashed whole).
+RUN = 1 << 18
 _powers: list[np.ndarray] = []
 
 
@@ -79,5 +81,14 @@ def shingles(words: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.n
 
 
 def text_shingles(texts: pa.StringArray, size: int = 5) -> list[np.ndarray]:
+    """:func:`shingles` of an Arrow batch's texts, hashed in runs, as hashing takes many times the bytes of its texts."""
+    if not len(texts):
+        return []
+    texts = texts.cast(pa.large_string())
+    starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts)]
+    cuts = [0, *(np.flatnonzero(np.diff((starts - starts[0]) // RUN)) + 1).tolist(), len(texts)]
+    out = []
     with np.errstate(over="ignore"):
-        return shingles(*word_hashes(texts), size)
+        for a, b in zip(cuts, cuts[1:]):
+            out += shingles(*word_hashes(texts[a:b]), size)
+    return out

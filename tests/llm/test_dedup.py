@@ -2,16 +2,19 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import fixtures as X  # noqa: E402
 
-from lakeloom.llm import exact_dedup, line_dedup, ngram_join, quality  # noqa: E402
-from lakeloom.llm.common import materialize  # noqa: E402
+from lakeloom.llm import exact_dedup, line_dedup, ngram_join, quality, shingles  # noqa: E402
+from lakeloom.llm.common import in_buckets, materialize  # noqa: E402
 from lakeloom.llm.components import components  # noqa: E402
 
 DOCS = X.documents()
@@ -93,6 +96,22 @@ def near_copies(n, seed=8):
     return rows
 
 
+def test_ngram_join_tasks_hold_one_bucket_and_little_text(spark):
+    rows = in_buckets(spark.range(400).selectExpr("id % 40 AS bucket", "id"), 40)
+    held = rows.count().withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert [r["count"] for r in held] == [1] * 40
+    random.seed(5)
+    texts = pa.array([" ".join(random.choices(["alpha", "Beta", "g", "delta\n"], k=700)) for _ in range(400)] + ["", "two words"])
+    whole = shingles.shingles(*shingles.word_hashes(texts))
+    shingles._powers.clear()
+    tracemalloc.start()
+    runs = shingles.text_shingles(texts[3:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs) == 399 and all((a == b).all() and len(a) == len(b) for a, b in zip(runs, whole[3:]))
+    assert peak < 15 * texts.nbytes
+
+
 def test_ngram_join_opens_no_pairs_within_a_large_group(spark, monkeypatch):
     opened = []
 
