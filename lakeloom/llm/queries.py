@@ -12,7 +12,7 @@ from lakeloom.llm import byte_bpe, exact_dedup, html_text, katz, line_dedup, ngr
 from lakeloom.llm.common import table
 
 #: (host, path, verdict) of op6.
-URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import fixtures as X  # noqa: E402
 
-from lakeloom.llm import byte_bpe, html_text, katz, packing, shingles, units, url_filter, warc  # noqa: E402
+from lakeloom.llm import byte_bpe, html_text, katz, packing, queries, shingles, units, url_filter, warc  # noqa: E402
 from lakeloom.llm.common import shared_path  # noqa: E402
 
 DOCS = X.documents(seed=2)
@@ -367,6 +367,15 @@ def test_url_rules_match_brute_force(spark):
         assert got[i].verdict == verdict if rule else got[i].verdict in ("allow", "block")
 
 
+def test_url_query_gives_the_verdicts_of_its_contract(spark, tmp_path):
+    says = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = {"http://a.com/en/1": "com/en/", "http://example.com/en/71": "example.com/en/7", "http://x.net/de/9": "net/de/", "http://www.example.net/de/9": "net/de/", "http://www.example.net/de/81": "example.net/de/8", "http://q.org/es/": "org/es/"}
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op6_url_filter(spark, str(tmp_path)).collect()}
+    assert {h + p: verdict for h, p, verdict in queries.URL_RULES} == says
+    assert got == {i: (rule, says[rule]) for i, rule in enumerate(urls.values())}
+
+
 def test_url_trees_on_held_out_labels(spark):
     clean = [f"http://{a}{b}.example.com/en/{n}" for a in ("www.", "", "blog.") for n, b in enumerate(("garden", "history", "school", "weather", "recipes"))]
     spam = [f"http://{a}-{b}.example.net/{n}?ref=1" for a in ("casino", "cheap", "free") for n, b in enumerate(("win", "pills", "bets", "loans", "spin"))]
