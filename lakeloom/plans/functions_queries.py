@@ -13,9 +13,10 @@ from lakeloom.plans.registry import query
 )
 def fn_aggregates(t):
     x = "c_acctbal"
+    first = L.when(col(x).is_not_null() & col("c_custkey").is_not_null(), L.struct(col(x), -col("c_custkey")))  # of equal balances, the smallest key
     return t.customer.group_by("c_nationkey").agg(
         L.count("*").alias("n"), L.count_distinct("c_mktsegment").alias("kinds"), L.sum(x).alias("s"), L.avg(x).alias("a"), L.min(x).alias("lo"), L.max(x).alias("hi"), L.median(x).alias("med"), L.stddev(x).alias("sd"), L.stddev_pop(x).alias("sdp"),
-        L.variance(x).alias("v"), L.var_pop(x).alias("vp"), L.max_by("c_custkey", x).alias("richest"),
+        L.variance(x).alias("v"), L.var_pop(x).alias("vp"), L.max_by("c_custkey", first).alias("richest"),
     )
 
 

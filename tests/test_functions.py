@@ -1,10 +1,13 @@
 import datetime
 
+import duckdb
+import pandas as pd
 import pytest
 
 from lakeloom import Session
 from lakeloom import functions as L
 from lakeloom.functions import col, lit
+from lakeloom.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +56,22 @@ def test_percentiles_of_combined_states_are_exact(spark):
     assert states.filter(col("g") == 99).select(L.approx_percentile_estimate("state", 0.5).as_("p")).collect()[0][0] is None
     hundred = Session(spark).create_dataframe([(float(k),) for k in range(1, 101)], "v double").agg(L.approx_percentile_accumulate("v").as_("state"))
     assert hundred.select(L.approx_percentile_estimate("state", 0.07).as_("p")).collect()[0][0] == 7.0
+
+
+def test_collecting_aggregates_over_more_keys_than_a_bitmap_holds(spark, tmp_path):
+    """Keys beyond 32768, equal balances, repeated names, a null nation, and more values than an approximate sketch keeps."""
+    rows = pd.DataFrame({"c_custkey": range(100_000)})
+    rows["c_name"] = "Customer#" + (rows.c_custkey % 30_000).astype(str)
+    rows["c_nationkey"] = pd.array([None if k >= 90_000 else k % 2 for k in rows.c_custkey], "Int32")
+    rows["c_acctbal"] = (rows.c_custkey * 7919 % 99_991 // 3).astype(float)
+    rows["c_mktsegment"] = "S" + (rows.c_custkey % 3).astype(str)
+    rows.to_parquet(tmp_path / "customer.parquet", index=False)
+    con = duckdb.connect(config={"threads": 1})  # with more, DuckDB takes any of equal balances
+    con.sql(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet'")
+    richest = con.sql(registry.ORACLE_SQL["fn_aggregates"]).select("c_nationkey", "richest").fetchall()
+    assert {tuple(r) for r in registry.QUERIES["fn_aggregates"](spark, str(tmp_path)).select("c_nationkey", "richest").collect()} == set(richest)
+    want = con.sql(registry.ORACLE_SQL["fn_collecting_aggregates"])
+    got = registry.QUERIES["fn_collecting_aggregates"](spark, str(tmp_path))
+    order = lambda found: sorted(found, key=str)
+    assert got.columns == want.columns
+    assert order(map(tuple, got.collect())) == order(want.fetchall())
