@@ -15,6 +15,7 @@ from lakeloom import functions as L
 from lakeloom.column import Col, as_column, as_order, named, spark, unquoted
 from lakeloom.operators import analytics as analytics_ops
 from lakeloom.operators.asof import asof_join
+from lakeloom.operators.distribution import distribution
 from lakeloom.operators.flatten import flatten as flatten_rows
 from lakeloom.operators.grouping import Grouped, GroupingSets, aggregate_expressions
 from lakeloom.operators.sampling import sample as sample_rows
@@ -674,6 +675,11 @@ class Analytics:
     def time_series_agg(self, time_col: str, aggs: dict, windows: list[str], group_by: list[str], sliding_interval: str = "", col_formatter: Any = analytics_ops.default_name) -> Frame:
         return Frame(analytics_ops.time_series_agg(spark(self.frame), time_col, aggs, windows, group_by, col_formatter))
 
+    def distribution(self, group_by: Any, order_by: Any, percent_rank: str | None = "percent_rank", cume_dist: str | None = "cume_dist") -> Frame:
+        """Add ``percent_rank`` and ``cume_dist`` within ``group_by`` by ``order_by``, under these names, where a group need not fit a task."""
+        keys, orders = ([*c] if isinstance(c, (list, tuple)) else [c] for c in (group_by, order_by))
+        return Frame(distribution(spark(self.frame), [named(k) for k in keys], [as_order(o) for o in orders], percent_rank, cume_dist))
+
 
 class AI:
     """Model calls that add a column; see :mod:`lakeloom.functions.models`."""

@@ -11,8 +11,7 @@ from lakeloom.window import Window
 
 @query("SELECT l_orderkey, l_linenumber, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice)")
 def window_distribution(t):
-    w = Window.partition_by("l_returnflag").order_by("l_extendedprice")
-    return t.lineitem.select("l_orderkey", "l_linenumber", L.percent_rank().over(w).as_("pr"), L.cume_dist().over(w).as_("cd"))
+    return t.lineitem.analytics.distribution("l_returnflag", "l_extendedprice", "pr", "cd").select("l_orderkey", "l_linenumber", "pr", "cd")
 
 
 @query("SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")

@@ -1,10 +1,12 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom import Frame, GroupingSets, Session, Window, when_matched, when_not_matched
 from lakeloom import functions as L
 from lakeloom.functions import col, lit
+from lakeloom.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -239,3 +241,31 @@ def test_changed_tables_keep_their_partitions(spark):
     told = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED parted").collect()}
     assert "# Partition Information" in told and "note=kept" in told["Table Properties"]
     spark.sql("DROP TABLE parted")
+
+
+def test_distribution_matches_the_window(spark):
+    """Null and repeated keys and places, groups of one row, a place that most rows share, odd doubles, and no keys at all."""
+    doubles = [None, float("nan"), -0.0, 0.0, float("-inf"), 1.5, -1.5]
+    rows = [(i, [None, "a", "b"][i % 3], doubles[i * i % 7] if i % 2 else float(i % 50), i % 11) for i in range(600)] + [(i, "hot", 7.0, 1) for i in range(600, 900)] + [(900, "one", 3.0, None)]
+    frame = Session(spark).create_dataframe(rows, "id int, g string, x double, y int")
+    for keys, orders in ((["g"], [col("x")]), (["g"], [col("x").desc_nulls_last(), col("y").asc_nulls_last()]), ([], [col("y").desc()]), ([col("y") % 3, "g"], ["x"])):
+        window = Window.partition_by(*keys).order_by(*orders)
+        want = frame.select("id", L.percent_rank().over(window).as_("pr"), L.cume_dist().over(window).as_("cd"))
+        got = frame.analytics.distribution(keys, orders, "pr", "cd")
+        assert got.columns == ["id", "g", "x", "y", "pr", "cd"]
+        assert sorted(map(tuple, got.select("id", "pr", "cd").collect())) == sorted(map(tuple, want.collect()))
+    assert frame.limit(0).analytics.distribution("g", "x").count() == 0
+
+
+def test_distribution_of_one_large_group_is_dealt_out(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "'N' AS l_returnflag", "CAST(id * 7919 % 10007 AS DOUBLE) AS l_extendedprice")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        sizes = [r[1] for r in registry.QUERIES["window_distribution"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("pr"), F.sum("cd")).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
